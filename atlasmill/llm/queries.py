@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from atlasmill.llm import ann, media, mixing, packing
+from atlasmill.llm import ann, media, mixing, packing, quality, toxicity
 
 QUERIES = {
     "op3_nearest_neighbours": ann.op3_nearest_neighbours,
+    "op4_neighbour_quality": quality.op4_neighbour_quality,
     "op5_media_columns": media.op5_media_columns,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op9_clause_toxicity": toxicity.op9_clause_toxicity,
     "op10_systematic_mixing": mixing.op10_systematic_mixing,
 }
 
