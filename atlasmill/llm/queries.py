@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from atlasmill.llm import ann, media, mixing, packing, quality, toxicity
+from atlasmill.llm import ann, licenses, media, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_nearest_neighbours": ann.op3_nearest_neighbours,
     "op4_neighbour_quality": quality.op4_neighbour_quality,
     "op5_media_columns": media.op5_media_columns,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_boosted_pii": pii.op8_boosted_pii,
     "op9_clause_toxicity": toxicity.op9_clause_toxicity,
     "op10_systematic_mixing": mixing.op10_systematic_mixing,
 }
 
 ORACLES = {
+    "op2_license_scan": licenses.OP2_SQL,
     "op10_systematic_mixing": mixing.OP10_SQL,
 }
