@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from atlasmill.llm import ann, licenses, media, mixing, packing, pii, quality, toxicity
+from atlasmill.llm import ann, licenses, media, mixing, ngram_join, packing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_parity_jaccard": ngram_join.op1_parity_jaccard,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_nearest_neighbours": ann.op3_nearest_neighbours,
     "op4_neighbour_quality": quality.op4_neighbour_quality,

@@ -101,7 +101,7 @@ def test_trees_in_both_forms(spark):
 
 LICENSES = [
     (1, "x. Licensed under the Apache License, Version 2.0.\nUnder CC-BY now; cc BY!", 1), (2, None, 1), (3, "", 1), (4, "éMIT license mit\nlicense", 1), (5, "released  under THE mit-License", 1),
-    (5, "plain", 1), (None, "Apache License", 1), (6, "GNU General Public LicensesGNU general public license\n" + "the " * 30000, 1),
+    (5, "plain", 1), (None, "Apache License", 1), (6, "GNU General Public Licenses GNU general public license\n" + "the " * 30000, 1),
     (7, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation.", 1), (8, "the of and\n" * 3000, 1),
 ]
 
