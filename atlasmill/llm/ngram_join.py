@@ -7,10 +7,12 @@ D + 1 groups one is equal (pigeonhole). Sizes fall into bands that overlap by th
 linkable pair shares one; in a band each set publishes its first D + 1 groups and some to spare.
 
 Equal sets are one node from the start. Buckets of equal groups with few members give all their
-pairs. Of larger buckets each member is compared with a few leaders; a set with too many large
-buckets to be sure of a small one (more than it has to spare) is then compared with every member
-of those buckets that is not yet of its component. So no link between components is lost, and a
-hot passage or a huge group of near copies does not make all its pairs.
+pairs, and a pair is verified only if enough of its groups agree for the distance bound. A set
+whose large buckets are more than it can spare might link through large ones alone, and only with
+another such set: these are bucketed again among themselves. Where that no longer thins them, members
+are compared with a few leaders, and then with every member that is not yet of their component
+and shares enough groups. So no link between components is lost, and a hot passage or a huge
+group of near copies does not make all its pairs.
 
 Members are 64-bit hashes of n-grams of 64-bit word hashes. Rows of one id are one document. A null
 text or one without words has the empty set and no links; a null id has no component. Fewer words
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.llm.common import let_go, stash, unstash
@@ -110,6 +112,7 @@ class Sketcher:
                 continue  # nothing but an equal set is near enough
             want, spare = self._published(n, j)
             want = min(want, self.groups[j])
+            spare = self._published(-(-n * self.percent // 100), j)[1]  # as the smallest partner has it
             group = ((mix(members ^ M1) >> np.uint64(32)) * np.uint64(self.groups[j])) >> np.uint64(32)
             own = group < want
             group, own = group[own].astype(np.int64), members[own]
@@ -186,8 +189,81 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _pairs(listed: DataFrame) -> DataFrame:
-    """All pairs (a < b) of each short sorted list."""
-    return listed.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    """All pairs (a < b) of each short sorted list, with the band of its bucket."""
+    return listed.select(_band(), F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b", "band")
+
+
+def _band() -> Column:
+    return F.col("key").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).cast("int").alias("band")
+
+
+def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The packed texts of the documents in pairs."""
+    asked = pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct()
+    return stash(_packed(rows).join(asked, "doc_id", "left_semi"), "texts")
+
+
+def _near_enough(counted: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, band, shared) whose sketches can be near enough: of the groups that both publish, no more
+    differ than sets of these sizes may. Groups in large buckets were not counted; both may share them all."""
+    one = facts.select(F.col("doc_id").alias("a"), "band", F.col("n").alias("na"), F.col("g").alias("ga"), F.col("hot").alias("ha"))
+    two = facts.select(F.col("doc_id").alias("b"), "band", F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("hot").alias("hb"))
+    differ = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    enough = F.col("shared") + F.least("ha", "hb") >= F.least("ga", "gb") - differ
+    return counted.join(one, ["a", "band"]).join(two, ["b", "band"]).where(fits & enough).select("a", "b")
+
+
+def _candidates(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs to verify, and the rows (key, doc_id) of large buckets that settle only by components.
+
+    A set that shares more large buckets than it can spare is looked at again among such sets only,
+    where many of its buckets are small, until that hardly thins them any more.
+    """
+    spark = own.sparkSession
+    facts = own.select("doc_id", "band", "n", "g", "spare")
+    keys, found, before = own.select("doc_id", F.explode("keys").alias("key")), [], None
+    while True:
+        shared = stash(keys.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("cnt > 1"), "shared")
+        let_go(spark)
+        more = stash(keys.join(shared.where("cnt > 2").select("key", "cnt"), "key"), "buckets")
+        let_go(spark)
+        small = more.where(F.col("cnt") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+        counted = shared.where("cnt = 2 and a < b").select("a", "b", _band()).union(_pairs(small)).groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("shared"))
+        hot = more.where(F.col("cnt") > SMALL).select("key", "doc_id", _band())
+        n_hot = hot.groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("hot"))
+        level = stash(facts.join(n_hot, ["doc_id", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(0))), "level")
+        found.append(_near_enough(counted, level, percent))
+        unsure = level.where("hot > spare").select("doc_id", "band")
+        left = stash(hot.join(unsure, ["doc_id", "band"]).select("doc_id", "key"), "unsure")
+        now = left.count()
+        if now == 0 or (before is not None and 10 * now > 9 * before):
+            break
+        before, keys = now, left
+    core = None
+    if now:
+        core = left
+        leaders = core.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"] for i in range(LEADERS)])).alias("leaders"))
+        leaders = stash(leaders, "leaders")  # a written side lets a skewed bucket be split
+        found.append(core.join(leaders, "key").select("doc_id", F.explode("leaders").alias("leader")).where("doc_id != leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")))
+    pairs = found[0]
+    for more_pairs in found[1:]:
+        pairs = pairs.union(more_pairs)
+    return stash(pairs.distinct(), "pairs"), core
+
+
+def _unsettled(core: DataFrame, roots: DataFrame, own: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of core documents that share a bucket but no component yet: in each bucket, whoever is outside its main component, with all."""
+    placed = stash(core.join(roots, core.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root")), "placed")
+    per = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = stash(per.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main"), "main")
+    still = placed.join(main, "key")
+    asking = still.where("root != main").select("key", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.lit(True).alias("out"))
+    met = asking.join(still.select("key", F.col("doc_id").alias("y"), F.col("root").alias("ry"), (F.col("root") != F.col("main")).alias("too")), "key").where("rx != ry and (x < y or not too)")
+    counted = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), _band()).groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("shared"))
+    # All buckets that a pair of two components shares are open, so the count is whole.
+    near = _near_enough(counted, own.select("doc_id", "band", "n", "g", F.lit(0).alias("hot")), percent).distinct()
+    return stash(near.join(pairs, ["a", "b"], "left_anti"), "rest")
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -195,48 +271,21 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     every = stash(_sketches(rows, words, percent), "sketches")
-    light = every.where("first").select("doc_id", "n", "fp")
-    nodes = stash(light.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    members = stash(every.where("first").select("doc_id", "n", "fp"), "members")
+    nodes = stash(members.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     # One row per set and band; the id in the join key spreads groups of copies.
-    own = stash(every.where(F.size("keys") > 0).join(nodes, (every.fp == nodes.fp) & (every.doc_id == nodes.node), "left_semi").dropDuplicates(["doc_id", "fp", "band"]).select("doc_id", "band", "spare", "keys"), "own")
-    members = stash(light, "members")
+    own = stash(every.where(F.size("keys") > 0).join(nodes, (every.fp == nodes.fp) & (every.doc_id == nodes.node), "left_semi").dropDuplicates(["doc_id", "fp", "band"]).select("doc_id", "band", "n", F.size("keys").alias("g"), "spare", "keys"), "own")
     unstash(every)
     let_go(spark)
-    keys = own.select("doc_id", F.explode("keys").alias("key"))
-    shared = stash(keys.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("cnt > 1"), "shared")
-    let_go(spark)
-    more = stash(keys.join(shared.where("cnt > 2").select("key", "cnt"), "key"), "buckets")
-    let_go(spark)
-    small = more.where(F.col("cnt") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).select("ids").distinct()
-    hot = more.where(F.col("cnt") > SMALL)
-    leaders = hot.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"] for i in range(LEADERS)])).alias("leaders"))
-    # A stashed side on either hand lets a skewed bucket be split.
-    leaders = stash(leaders, "leaders")
-    starred = hot.join(leaders, "key").select("doc_id", F.explode("leaders").alias("leader")).where("doc_id != leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
-    pairs = stash(shared.where("cnt = 2 and a < b").select("a", "b").union(_pairs(small)).union(starred).distinct(), "pairs")
-    # Texts of the documents in question only; a bucket of more than one member names them all.
-    asked = shared.select("a").union(shared.select("b")).union(more.select("doc_id")).toDF("doc_id").distinct()
-    texts = stash(_packed(rows).join(asked, "doc_id", "left_semi"), "texts")
-    let_go(spark)
+    pairs, core = _candidates(own, percent)
+    texts = _texts_of(rows, pairs)
     links = stash(_verified(pairs, texts, words, percent), "links")
-    let_go(spark)
     roots = components(links, "a", "b")
-    # Sets with more hot buckets than they can spare.
-    tag = F.col("key").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).cast("int")
-    unsure = hot.groupBy("doc_id", tag.alias("band")).agg(F.count(F.lit(1)).alias("hot")).join(own.select("doc_id", "band", "spare"), ["doc_id", "band"]).where("hot > spare").select("doc_id", "band")
-    placed = hot.select("key", "doc_id", tag.alias("band")).join(unsure.withColumn("unsure", F.lit(True)), ["doc_id", "band"], "left")
-    placed = placed.join(roots, placed.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"), F.coalesce("unsure", F.lit(False)).alias("unsure"))
-    placed = stash(placed, "placed")
-    per = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max("unsure").alias("unsure"))
-    main = stash(per.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.max("unsure").alias("unsure")).where("roots > 1 and unsure").select("key", "main"), "main")
-    if not main.isEmpty():
-        open_ = placed.join(main, "key")
-        asking = open_.where("unsure and root != main").select("key", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
-        rest = asking.join(open_.select("key", F.col("doc_id").alias("y"), F.col("root").alias("ry")), "key").where("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = stash(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-        further = _verified(rest, texts, words, percent)
-        links = stash(links.union(further), "links")
-        roots = components(links, "a", "b")
+    if core is not None:
+        rest = _unsettled(core, roots, own, pairs, percent)
+        if not rest.isEmpty():
+            further = _verified(rest, _texts_of(rows, rest), words, percent)
+            roots = components(stash(links.union(further), "links"), "a", "b")
     of_set = stash(nodes.join(roots, nodes.node == roots.node, "left").select("fp", F.coalesce(roots.root, nodes.node).alias("component_id")), "classes")
     own_set = members.join(of_set, "fp", "left")
     return own_set.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
