@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from atlasmill.llm import ann, licenses, media, mixing, ngram_join, packing, pii, quality, toxicity
+from atlasmill.llm import ann, licenses, media, mixing, ngram_join, packing, pii, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_parity_jaccard": ngram_join.op1_parity_jaccard,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_neighbour_quality": quality.op4_neighbour_quality,
     "op5_media_columns": media.op5_media_columns,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_boosted_pii": pii.op8_boosted_pii,
     "op9_clause_toxicity": toxicity.op9_clause_toxicity,
     "op10_systematic_mixing": mixing.op10_systematic_mixing,
