@@ -35,7 +35,13 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and rereads it: lineage ends at files that outlive executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the table stands, so its shuffle files may go
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

@@ -24,22 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasmill.llm.common import let_go, shuffle_parts, stash
+from atlasmill.llm.common import let_go, shuffle_parts, stash, unstash
 
 LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM + 1
+HALF = SPAN // 2
 ROWS_AT_ONCE = 20_000
 PRIME = np.int64(2**31 - 1)
 BASE = 1_000_003
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, last window) of each run of windows with one anchor."""
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, last window, place in the first window) of each run of windows with one anchor."""
     n = len(text)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     eight = np.empty(n - 7, np.uint64)
     for o in range(8):
         part = np.frombuffer(text, "<u8", (n - o) // 8, o)
@@ -54,7 +55,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, width = np.where(h[a] <= h[b], a, b), width + step
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-    return h[at[first]].view(np.int64), first, last
+    return h[at[first]].view(np.int64), first, last, at[first] - first
 
 
 class Suffixes:
@@ -162,19 +163,32 @@ def least_documents(texts: list[bytes], docs: np.ndarray, bucket: np.ndarray) ->
     return np.split(out, ends[:-1])
 
 
-def covered(keys: list[int], docs: list[int], first: list[int], texts: list[bytes]) -> list[tuple[int, int, int]]:
+def _cores(text: bytes, place: int) -> list[bytes]:
+    """What every window of a stretch holds around its anchor: the anchor with what follows, or with what precedes."""
+    out = []
+    if len(text) >= place + HALF + GRAM:
+        out.append(text[place : place + HALF + GRAM])
+    if place >= HALF:
+        out.append(b"<" + text[place - HALF : place + GRAM])
+    return out
+
+
+def covered(keys: list[int], docs: list[int], first: list[int], places: list[int], texts: list[bytes]) -> list[tuple[int, int, int]]:
     """(row, start, end) of removed stretches; rows are sorted by key and whole buckets are given."""
     unique: dict[tuple[int, bytes], int] = {}
-    of, least, per_key = [], [], {}
-    for k, d, t in zip(keys, docs, texts, strict=True):
+    of, least, met, cores = [], [], {}, []
+    for k, d, p, t in zip(keys, docs, places, texts, strict=True):
         u = unique.setdefault((k, t), len(unique))
         of.append(u)
         if u == len(least):
             least.append(d)
-            per_key[k] = per_key.get(k, 0) + 1
+            cores.append([(k, c) for c in _cores(t, p)])
+            for c in cores[u]:
+                met[c] = met.get(c, 0) + 1
         elif d < least[u]:
             least[u] = d
-    several = [(k, t, u) for (k, t), u in unique.items() if per_key[k] > 1]
+    # Different stretches can share a window only if they share a core.
+    several = [(k, t, u) for (k, t), u in unique.items() if any(met[c] > 1 for c in cores[u])]
     found: dict[int, np.ndarray] = {}
     if several:
         number = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in several))}
@@ -229,37 +243,39 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             keys = [np.unique(anchors(d.decompress(x.as_py()))[0]) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "t", "keys"])
 
-    filed = texts.select("doc_id", "t", "packed").mapInArrow(keys_of, "doc_id long, t long, keys array<long>").select("doc_id", "t", F.explode("keys").alias("key"))
+    anchored = stash(texts.select("doc_id", "t", "packed").mapInArrow(keys_of, "doc_id long, t long, keys array<long>"), "anchored")
+    filed = anchored.select("doc_id", "t", F.explode("keys").alias("key"))
     shared = stash(filed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "shared-anchors")
     let_go(spark)
     lists = stash(filed.join(shared, "key").groupBy("doc_id", "t").agg(F.collect_list("key").alias("keys")), "anchors")
+    unstash(anchored)
     let_go(spark)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         d = zstandard.ZstdDecompressor()
-        names = ["key", "doc_id", "t", "first", "stretch"]
+        names = ["key", "doc_id", "t", "first", "place", "stretch"]
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 part = b.slice(at, 500)
                 for k, t, packed, keys in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
                     text = d.decompress(packed.as_py())
-                    own, first, last = anchors(text)
+                    own, first, last, place = anchors(text)
                     for i in np.flatnonzero(np.isin(own, keys.values.to_numpy())):
-                        for x, v in zip(out, (own[i], k, t, first[i], text[first[i] : last[i] + LENGTH]), strict=True):
+                        for x, v in zip(out, (own[i], k, t, first[i], place[i], text[first[i] : last[i] + LENGTH]), strict=True):
                             x.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=names)
 
-    sent = texts.select("doc_id", "t", "packed").join(lists, ["doc_id", "t"]).select("doc_id", "t", "packed", "keys").mapInArrow(stretches, "key long, doc_id long, t long, first long, stretch binary")
+    sent = texts.select("doc_id", "t", "packed").join(lists, ["doc_id", "t"]).select("doc_id", "t", "packed", "keys").mapInArrow(stretches, "key long, doc_id long, t long, first long, place long, stretch binary")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table) -> pa.RecordBatch:
-            keys, docs_, ts, first, stretch = (table.column(i).to_pylist() for i in range(5))
-            got = covered(keys, docs_, first, stretch)
+            keys, docs_, ts, first, place, stretch = (table.column(i).to_pylist() for i in range(6))
+            got = covered(keys, docs_, first, place, stretch)
             return pa.RecordBatch.from_arrays([pa.array([docs_[r] for r, _, _ in got], pa.int64()), pa.array([ts[r] for r, _, _ in got], pa.int64()), pa.array([a for _, a, _ in got], pa.int64()), pa.array([b for _, _, b in got], pa.int64())], names=["doc_id", "t", "a", "b"])
 
         for batch in batches:
