@@ -2,6 +2,7 @@ import math
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from atlasmill.session import TABLES
 def plain(v):
     if hasattr(v, "tolist"):
         v = v.tolist()
-    if v is None or v != v:
+    if not isinstance(v, (list, str)) and pd.isna(v):
         return "null"
     return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
