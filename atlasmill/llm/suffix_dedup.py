@@ -3,7 +3,7 @@
 Each 50-byte window is filed under an anchor, the least hash of its 16-byte grams, so equal windows
 share an anchor. Only anchors that two documents hold go on: the stretch of text whose windows an
 anchor answers for is sent to the anchor's bucket, where the windows are sorted as suffixes of the
-stretches. The sort is a merge sort whose comparisons take the common extension by binary search
+stretches, apart by where they hold the anchor. The sort is a merge sort whose comparisons take the common extension by binary search
 over prefix polynomial hashes; neighbours with a common extension of 50 bytes are equal windows,
 and their bytes are compared, so a collision cannot remove anything. A window whose least document
 is smaller than its own is removed.
@@ -138,17 +138,22 @@ class Suffixes:
         return order
 
 
-def least_documents(texts: list[bytes], docs: np.ndarray, bucket: np.ndarray) -> list[np.ndarray]:
-    """For each stretch, the least document that holds each of its windows within its bucket."""
+def least_documents(texts: list[bytes], docs: np.ndarray, bucket: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """For each stretch, the least document that holds each of its windows within its bucket.
+
+    Equal windows hold their anchor at the same place, so each place in the window is a bucket of its own.
+    """
     sizes = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     windows = sizes - LENGTH + 1
     heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     ends = np.cumsum(windows)
-    start = np.repeat(heads, windows) + np.arange(ends[-1]) - np.repeat(ends - windows, windows)
-    own, filed = np.repeat(docs, windows), np.repeat(bucket, windows)
+    window = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
+    start = np.repeat(heads, windows) + window
+    own, filed = np.repeat(docs, windows), np.repeat(bucket * LENGTH + places, windows) - window
     suffixes = Suffixes(data)
-    order = suffixes.order(start, filed)
+    by = np.argsort(filed, kind="stable")
+    order = by[suffixes.order(start[by], filed[by])]
     s, f = start[order], filed[order]
     alike = (f[1:] == f[:-1]) & (suffixes.common(s[1:], s[:-1]) >= LENGTH)
     at = np.flatnonzero(alike)
@@ -176,12 +181,13 @@ def _cores(text: bytes, place: int) -> list[bytes]:
 def covered(keys: list[int], docs: list[int], first: list[int], places: list[int], texts: list[bytes]) -> list[tuple[int, int, int]]:
     """(row, start, end) of removed stretches; rows are sorted by key and whole buckets are given."""
     unique: dict[tuple[int, bytes], int] = {}
-    of, least, met, cores = [], [], {}, []
+    of, least, met, cores, anchor = [], [], {}, [], []
     for k, d, p, t in zip(keys, docs, places, texts, strict=True):
         u = unique.setdefault((k, t), len(unique))
         of.append(u)
         if u == len(least):
             least.append(d)
+            anchor.append(p)
             cores.append([(k, c) for c in _cores(t, p)])
             for c in cores[u]:
                 met[c] = met.get(c, 0) + 1
@@ -193,7 +199,7 @@ def covered(keys: list[int], docs: list[int], first: list[int], places: list[int
     if several:
         number = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in several))}
         several.sort(key=lambda x: number[x[0]])
-        got = least_documents([t for _, t, _ in several], np.array([least[u] for _, _, u in several]), np.array([number[k] for k, _, _ in several]))
+        got = least_documents([t for _, t, _ in several], np.array([least[u] for _, _, u in several]), np.array([number[k] for k, _, _ in several]), np.array([anchor[u] for _, _, u in several]))
         found = {u: g for (_, _, u), g in zip(several, got, strict=True)}
     out = []
     for row, (u, d) in enumerate(zip(of, docs, strict=True)):
