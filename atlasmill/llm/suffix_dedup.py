@@ -17,6 +17,7 @@ than id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,27 +181,35 @@ def _cores(text: bytes, place: int) -> list[bytes]:
 
 def covered(keys: list[int], docs: list[int], first: list[int], places: list[int], texts: list[bytes]) -> list[tuple[int, int, int]]:
     """(row, start, end) of removed stretches; rows are sorted by key and whole buckets are given."""
-    unique: dict[tuple[int, bytes], int] = {}
-    of, least, met, cores, anchor = [], [], {}, [], []
+    of, least, distinct, anchor, begin = [], [], [], [], []
+    now, known = None, {}
     for k, d, p, t in zip(keys, docs, places, texts, strict=True):
-        u = unique.setdefault((k, t), len(unique))
-        of.append(u)
-        if u == len(least):
+        if k != now:
+            now, known = k, {}
+            begin.append(len(least))
+        u = known.get(t)
+        if u is None:
+            u = known[t] = len(least)
             least.append(d)
+            distinct.append(t)
             anchor.append(p)
-            cores.append([(k, c) for c in _cores(t, p)])
-            for c in cores[u]:
-                met[c] = met.get(c, 0) + 1
         elif d < least[u]:
             least[u] = d
-    # Different stretches can share a window only if they share a core.
-    several = [(k, t, u) for (k, t), u in unique.items() if any(met[c] > 1 for c in cores[u])]
+        of.append(u)
+    several, number = [], []
+    for bucket, (x, y) in enumerate(zip(begin, [*begin[1:], len(least)], strict=True)):
+        if y - x < 2:
+            continue
+        # Different stretches can share a window only if they share a core.
+        cores = [_cores(distinct[u], anchor[u]) for u in range(x, y)]
+        met = Counter(c for own in cores for c in own)
+        more = [u for u, own in zip(range(x, y), cores, strict=True) if any(met[c] > 1 for c in own)]
+        several += more
+        number += [bucket] * len(more)
     found: dict[int, np.ndarray] = {}
     if several:
-        number = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in several))}
-        several.sort(key=lambda x: number[x[0]])
-        got = least_documents([t for _, t, _ in several], np.array([least[u] for _, _, u in several]), np.array([number[k] for k, _, _ in several]), np.array([anchor[u] for _, _, u in several]))
-        found = {u: g for (_, _, u), g in zip(several, got, strict=True)}
+        got = least_documents([distinct[u] for u in several], np.array([least[u] for u in several]), np.array(number), np.array([anchor[u] for u in several]))
+        found = dict(zip(several, got, strict=True))
     out = []
     for row, (u, d) in enumerate(zip(of, docs, strict=True)):
         if least[u] < d:
@@ -264,15 +273,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         names = ["key", "doc_id", "t", "first", "place", "stretch"]
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                out: list[list] = [[], [], [], [], [], []]
+                ints: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+                out: list[bytes] = []
                 part = b.slice(at, 500)
                 for k, t, packed, keys in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
                     text = d.decompress(packed.as_py())
                     own, first, last, place = anchors(text)
-                    for i in np.flatnonzero(np.isin(own, keys.values.to_numpy())):
-                        for x, v in zip(out, (own[i], k, t, first[i], place[i], text[first[i] : last[i] + LENGTH]), strict=True):
-                            x.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=names)
+                    i = np.flatnonzero(np.isin(own, keys.values.to_numpy()))
+                    for x, v in zip(ints, (own[i], np.full(len(i), k), np.full(len(i), t), first[i], place[i]), strict=True):
+                        x.append(v)
+                    out += [text[x:y] for x, y in zip(first[i].tolist(), (last[i] + LENGTH).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), pa.int64()) for x in ints), pa.array(out, pa.binary())], names=names)
 
     sent = texts.select("doc_id", "t", "packed").join(lists, ["doc_id", "t"]).select("doc_id", "t", "packed", "keys").mapInArrow(stretches, "key long, doc_id long, t long, first long, place long, stretch binary")
 
