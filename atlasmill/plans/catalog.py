@@ -14,8 +14,8 @@ from atlasmill.operators import retrieval
 from atlasmill.session import run_sql, table
 
 MACROS = {
-    "spark": {"TOKENS": "regexp_extract_all(lower({0}), '[a-z0-9]+', 0)", "EXPLODE": "explode({0})", "LEN": "size({0})", "SHA": "sha2({0}, 256)", "PCT": "percentile({0}, {1})", "COUNT_IF": "count_if({0})", "SORTED": "array_sort({0})", "COLLECT": "collect_set({0})", "JOINED": "array_join({0}, ',')", "SQUEEZE": "trim(regexp_replace(lower({0}), '\\\\s+', ' '))", "RANGE": "sequence(0, {0})", "SLICE": "slice({0}, {1} + 1, {2})", "CHARS": "length({0})", "DIV": "({0}) div ({1})", "WORDS": "size(regexp_extract_all({0}, '\\\\S+', 0))"},
-    "duck": {"TOKENS": "regexp_extract_all(lower({0}), '[a-z0-9]+')", "EXPLODE": "unnest({0})", "LEN": "len({0})", "SHA": "sha256({0})", "PCT": "quantile_cont({0}, {1})", "COUNT_IF": "count_if({0})", "SORTED": "list_sort({0})", "COLLECT": "list(DISTINCT {0})", "JOINED": "array_to_string({0}, ',')", "SQUEEZE": "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))", "RANGE": "range(0, ({0}) + 1)", "SLICE": "{0}[{1} + 1:{1} + {2}]", "CHARS": "length({0})", "DIV": "({0}) // ({1})", "WORDS": "len(regexp_extract_all({0}, '\\S+'))"},
+    "spark": {"TOKENS": "regexp_extract_all(lower({0}), '[a-z0-9]+', 0)", "EXPLODE": "explode({0})", "LEN": "size({0})", "SHA": "sha2({0}, 256)", "PCT": "percentile({0}, {1})", "COUNT_IF": "count_if({0})", "SORTED": "array_sort({0})", "COLLECT": "collect_set({0})", "JOINED": "array_join({0}, ',')", "SQUEEZE": "trim(regexp_replace(lower({0}), '\\\\s+', ' '))", "RANGE": "sequence(0, {0})", "SLICE": "slice({0}, {1} + 1, {2})", "CHARS": "length({0})", "DIV": "({0}) div ({1})", "REPLACED": "regexp_replace({0}, {1}, {2})", "SQUARES": "aggregate({0}, 0D, (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE))", "WORDS": "size(regexp_extract_all({0}, '\\\\S+', 0))"},
+    "duck": {"TOKENS": "regexp_extract_all(lower({0}), '[a-z0-9]+')", "EXPLODE": "unnest({0})", "LEN": "len({0})", "SHA": "sha256({0})", "PCT": "quantile_cont({0}, {1})", "COUNT_IF": "count_if({0})", "SORTED": "list_sort({0})", "COLLECT": "list(DISTINCT {0})", "JOINED": "array_to_string({0}, ',')", "SQUEEZE": "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))", "RANGE": "range(0, ({0}) + 1)", "SLICE": "{0}[{1} + 1:{1} + {2}]", "CHARS": "length({0})", "DIV": "({0}) // ({1})", "REPLACED": "regexp_replace({0}, {1}, {2}, 'g')", "SQUARES": "list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))", "WORDS": "len(regexp_extract_all({0}, '\\S+'))"},
 }
 
 
@@ -126,6 +126,18 @@ PLANS = {
     "union_atoms": "SELECT c_nationkey AS atom FROM customer UNION SELECT s_nationkey FROM supplier",
     "evidence_contains": "SELECT b.item_id, count(*) AS holders FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id",
     "lineage_preserved": "SELECT l.l_orderkey AS plan, CAST(@COUNT_IF(o.o_orderkey IS NULL) AS BIGINT) AS orphans, min(CASE WHEN o.o_orderdate <= l.l_shipdate THEN 1 ELSE 0 END) AS in_order FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY l.l_orderkey",
+    "secrets_redacted": "SELECT doc_id, @SHA(@REPLACED(text; 'sk-[A-Za-z0-9_-]+'; '[REDACTED]')) AS redacted_key FROM documents",
+    "vector_norms": "SELECT vec_id, round(sqrt(@SQUARES(embedding)), 9) AS norm FROM embeddings",
+    "alternation": "SELECT source, doc_id, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY @SHA(concat('42', CAST(doc_id AS STRING))), doc_id) % 2 = 1 THEN 'P' ELSE 'Q' END AS side FROM documents",
+    "duplicate_plans": "SELECT o_orderkey, CASE WHEN o_orderkey = first_key THEN 'first' WHEN o_orderpriority = first_content THEN 'duplicate' ELSE 'conflict' END AS status FROM (SELECT o_orderkey, o_orderpriority, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first_key, first_value(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first_content FROM orders) t",
+    "acceptance_funnel": "SELECT user_id % 7 AS difficulty, CAST(@COUNT_IF(event_type = 'click') AS BIGINT) AS initial, CAST(@COUNT_IF(event_type = 'purchase') AS BIGINT) AS accepted, round(@COUNT_IF(event_type = 'purchase') / nullif(CAST(@COUNT_IF(event_type = 'click') AS DOUBLE), 0), 9) AS acceptance FROM events GROUP BY user_id % 7",
+    "combination_masks": "SELECT CAST(k AS BIGINT) AS k, CAST(mask AS BIGINT) AS mask FROM (SELECT @EXPLODE(@RANGE(127)) AS mask) t CROSS JOIN (SELECT 2 AS k UNION ALL SELECT 3 UNION ALL SELECT 4) u WHERE bit_count(mask) = k - 1",
+    "length_budgets": "SELECT k, 75 + 20 * (k - 2) AS question_words, 18 + 2 * (k - 2) AS option_words, 130 + 30 * (k - 2) AS total_words, 12 * (130 + 30 * (k - 2)) AS total_chars FROM (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS k FROM lineitem WHERE l_linenumber BETWEEN 2 AND 7) t",
+    "position_histogram": "SELECT l_returnflag AS status, CAST(l_linenumber AS BIGINT) AS position, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linenumber",
+    "route_reasons": "SELECT doc_id, concat_ws(',', CASE WHEN toxic = 1 THEN 'critical' END, CASE WHEN abs(quality - toxic) >= 1 THEN 'gap' END, CASE WHEN quality = 0 THEN 'below_threshold' END) AS reasons FROM labels",
+    "selection_heatmap": f"WITH {COMBOS} SELECT CAST(p.source AS BIGINT) AS source, round(avg(CASE WHEN floor(combo / 1) % 2 = 1 THEN 1e0 ELSE 0e0 END), 9) AS target_0, round(avg(CASE WHEN floor(combo / 2) % 2 = 1 THEN 1e0 ELSE 0e0 END), 9) AS target_1, round(avg(CASE WHEN floor(combo / 4) % 2 = 1 THEN 1e0 ELSE 0e0 END), 9) AS target_2, round(avg(CASE WHEN floor(combo / 8) % 2 = 1 THEN 1e0 ELSE 0e0 END), 9) AS target_3, round(avg(CASE WHEN floor(combo / 16) % 2 = 1 THEN 1e0 ELSE 0e0 END), 9) AS target_4 FROM plans p GROUP BY p.source",
+    "rate_triplets": "SELECT lang, CAST(@COUNT_IF(quality = 1) AS BIGINT) AS passed, count(quality) AS denominator, round(CAST(@COUNT_IF(quality = 1) AS DOUBLE) / nullif(count(quality), 0), 9) AS rate FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang",
+    "disjoint_pools": "SELECT count(*) AS shared FROM (SELECT doc_id FROM documents WHERE n_chars % 2 = 0 INTERSECT SELECT doc_id FROM documents WHERE n_chars % 2 = 1) t",
     "mixed_config_check": "SELECT lang, count(DISTINCT source) AS configs, CASE WHEN count(DISTINCT source) = 1 THEN 'ok' ELSE 'mixed' END AS status FROM documents GROUP BY lang",
 }
 
