@@ -1,9 +1,13 @@
 r"""License scans: phrase places, and an exact set-similarity join of text blocks with notices.
 
-A block is a line; its set is its words. A notice's words are ordered by their count in the whole
-corpus, rarest first. A block that contains CONTAINMENT of a notice's words must hold one of its
+A block is a line, or a window of words that ignores line ends, so that a wrapped notice is found: as
+many words as the notice has, and a quarter more for what stands between its lines. Windows are tried
+inside pieces of twice the longest window, each begun one such length after the last, so that every
+window lies in a piece. A block's set is its words. A notice's words are ordered by their count in the
+whole corpus, rarest first. A block that contains CONTAINMENT of a notice's words must hold one of its
 first n - needed + 1 (prefix filter); it must have enough words (length filter), and enough known
-words from the first shared one on (positional filter). What is left is counted exactly.
+words from the first shared one on (positional filter). A piece must pass what its windows must. What
+is left is counted exactly, window by window.
 DataFrame operations only.
 
 Nulls: a null text is empty; rows with a null id get no labels of the join. Repeated ids share
@@ -59,6 +63,11 @@ def needed(n: int, containment: float = CONTAINMENT) -> int:
     return math.ceil(n * containment - 1e-9)
 
 
+def window_size(notice: str) -> int:
+    n = len(notice.split())
+    return n + math.ceil(n / 4)
+
+
 def base_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases=PHRASES) -> DataFrame:
     """Per row: doc_id, n_words, and the places (label, start) of the phrases."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -84,27 +93,37 @@ def base_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases=
 def notice_join(docs: DataFrame, text: str = "text", key: str = "doc_id", notices=NOTICES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, label, containment of every (block, notice) pair at or above the threshold; several rows per document may come."""
     spark = docs.sparkSession
-    sets = [(sorted(set(p.split())), label) for p, label in notices]
-    vocabulary = sorted({w for s, _ in sets for w in s})
-    blocks = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.explode(F.split(text, "\n")).alias("block"))
+    sets = [(sorted(set(p.split())), label, window_size(p)) for p, label in notices]
+    vocabulary = sorted({w for s, _, _ in sets for w in s})
+    longest = max(size for _, _, size in sets)
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
     known = spark.sql("SELECT explode(split('" + " ".join(vocabulary) + "', ' ')) AS word")
-    counted = blocks.select(F.explode(words_of(F.col("block"))).alias("word")).join(F.broadcast(known), "word").groupBy("word").count()
+    counted = texts.select(F.explode(words_of(F.col("_text"))).alias("word")).join(F.broadcast(known), "word").groupBy("word").count()
     count = {r.word: r["count"] for r in counted.collect()}  # at most the notices' own words
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
     rare: dict[str, list[tuple[int, int]]] = {}
-    for n, (s, _) in enumerate(sets):
+    for n, (s, _, _) in enumerate(sets):
         for i, w in enumerate(sorted(s, key=order.get)[: len(s) - needed(len(s), containment) + 1]):
             rare.setdefault(w, []).append((n, i))
     text_list = lambda ws: F.split(F.lit(" ".join(ws)), " ")
-    prefix = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', {n}, {needed(len(sets[n][0]), containment)}, {len(sets[n][0])}, '{' '.join(sets[n][0])}', '{sets[n][1]}')" for w, at in sorted(rare.items()) for n, _ in at) + " AS t(_word, _notice, _needed, _size, _set, label)")
-    some = blocks.withColumn("words", F.array_distinct(words_of(F.col("block")))).where(F.arrays_overlap("words", text_list(sorted(rare))))
+    prefix = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', {n}, {needed(len(sets[n][0]), containment)}, {len(sets[n][0])}, {sets[n][2]}, '{' '.join(sets[n][0])}', '{sets[n][1]}')" for w, at in sorted(rare.items()) for n, _ in at) + " AS t(_word, _notice, _needed, _size, _window, _set, label)")
+    some = texts.withColumn("_all", words_of(F.col("_text"))).where(F.arrays_overlap("_all", text_list(sorted(rare))))
+    lines = F.transform(F.split("_text", "\n"), lambda b: F.struct(words_of(b).alias("block"), F.lit(True).alias("line")))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("_all") - 1, F.lit(0)) / longest).cast("int"))
+    pieces = F.transform(starts, lambda k: F.struct(F.slice("_all", k * longest + 1, 2 * longest).alias("block"), F.lit(False).alias("line")))
+    # Without a line end the one line holds every window.
+    blocks = some.select("doc_id", F.explode(F.when(F.contains("_text", F.lit("\n")), F.concat(lines, pieces)).otherwise(lines)).alias("_b")).select("doc_id", "_b.block", "_b.line")
+    some = blocks.withColumn("words", F.array_distinct("block")).where(F.arrays_overlap("words", text_list(sorted(rare))))
     ranks = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)])
-    some = some.select("doc_id", "words", F.array_sort(F.transform(F.array_intersect("words", text_list(vocabulary)), lambda w: F.element_at(ranks, w))).alias("_ranks"))
+    some = some.select("doc_id", "block", "line", "words", F.array_sort(F.transform(F.array_intersect("words", text_list(vocabulary)), lambda w: F.element_at(ranks, w))).alias("_ranks"))
     pairs = some.select("*", F.explode(F.array_intersect("words", text_list(sorted(rare)))).alias("_word")).join(F.broadcast(prefix), "_word")
     at = F.array_position("_ranks", F.element_at(ranks, F.col("_word")))
     pairs = pairs.where((F.size("words") >= F.col("_needed")) & (F.size("_ranks") - at + 1 >= F.col("_needed")))
-    shared = F.size(F.array_intersect(F.split("_set", " "), "words"))
-    return pairs.where(shared >= F.col("_needed")).select("doc_id", "label", (shared / F.col("_size")).alias("containment"))
+    shared = lambda ws: F.size(F.array_intersect(F.split("_set", " "), ws))
+    windows = F.transform(F.sequence(F.lit(1), F.size("block")), lambda i: shared(F.slice("block", i, F.col("_window"))))
+    pairs = pairs.withColumn("_shared", shared(F.col("words"))).where(F.col("_shared") >= F.col("_needed"))
+    pairs = pairs.withColumn("_shared", F.when(F.col("line"), F.col("_shared")).otherwise(F.array_max(windows)))
+    return pairs.where(F.col("_shared") >= F.col("_needed")).select("doc_id", "label", (F.col("_shared") / F.col("_size")).alias("containment"))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

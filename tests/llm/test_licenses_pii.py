@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -120,3 +121,41 @@ def test_license_scan_by_hand(spark):
     assert got[7][0].base_labels == "" and got[7][0].labels == "mit" and 0.9 <= got[7][0].score < 1
     assert got[8][0].labels == ""
     assert licenses.scan(d.where("false")).count() == 0
+
+
+def held(text):
+    """(label, containment) of every notice that a line, or a window of the words of the text, holds."""
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    out = {}
+    for notice, label in licenses.NOTICES:
+        s, size, ws = set(notice.split()), licenses.window_size(notice), words(text)
+        best = max(len(s & set(b)) for b in [words(b) for b in text.split("\n")] + [ws[i : i + size] for i in range(len(ws) or 1)])
+        if best >= licenses.needed(len(s)):
+            out[label] = max(out.get(label, 0), best / len(s))
+    return out
+
+
+def test_wrapped_notices(spark):
+    """Notices broken over lines, commented, cut, spread out and repeated in long texts, against every window in plain Python."""
+    filler = "some other words that stand around it and say nothing of it at all ".split()
+    texts, labels = [], []
+    for i, (notice, label) in enumerate(licenses.NOTICES):
+        ws = notice.split()
+        for before in (9, 200 + 17 * i):
+            lines = textwrap.wrap(" ".join((filler * 40)[:before] + ws + filler * 3), 72)
+            for mark in ("", "# ", " * "):
+                texts.append("\n".join(mark + x for x in lines))
+                labels.append(label)
+        texts.append("\n".join(ws))
+        labels.append(label)
+        texts += ["\n".join(textwrap.wrap(" ".join(ws[1:-1]), 30)), "\n".join(f"{w} one two three" for w in ws), "\n".join(ws[: len(ws) // 2] + ["filler"] * 60 + ws[len(ws) // 2 :])]
+        labels += [None] * 3
+    texts += ["unencumbered\n" * 20000, "\n", "\n\nreleased under\nthe MIT\n\nlicense", "\r\n".join(textwrap.wrap(licenses.NOTICES[11][0], 40))]
+    labels += [None, None, "mit", "bsd"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(d).collect()}
+    for i, (text, label) in enumerate(zip(texts, labels)):
+        want = held(text)
+        assert label is None or label in want
+        assert got[i].labels == ",".join(sorted({*filter(None, got[i].base_labels.split(",")), *want})), text
+        assert got[i].score == pytest.approx(1.0 if got[i].n_base else max(want.values(), default=0.0))
