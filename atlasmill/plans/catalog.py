@@ -164,6 +164,13 @@ def cosine_topk(spark, folder: str) -> DataFrame:
     return out.select(F.col("domain").alias("label"), F.col("query").alias("query_id"), F.col("doc").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+def cosine_topk_all(spark, folder: str) -> DataFrame:
+    """The neighbours of every row; cosine_topk asks for those of one row a label."""
+    vectors = table(spark, folder, "embeddings")
+    out = retrieval.cosine_top(vectors, vectors, "label", "vec_id", "embedding", 10, chunks=8)
+    return out.select(F.col("domain").alias("label"), F.col("query").alias("query_id"), F.col("doc").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 BM25_SQL = """
 tokens AS (SELECT lang, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents),
 stats AS (SELECT lang, count(*) AS n, greatest(avg(len(ts)::DOUBLE), 1.0) AS mean FROM tokens GROUP BY lang),
@@ -176,13 +183,17 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY domain, item_id ORDER BY score DESC, doc_id) AS rank FROM scored)
 """
 
-FRAMES = {"bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion, "cosine_topk": cosine_topk}
+FRAMES = {"bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion, "cosine_topk": cosine_topk, "cosine_topk_all": cosine_topk_all}
 FRAME_SQL = {
     "bm25_topk": f"WITH {BM25_SQL} SELECT domain, item_id, doc_id, score, rank FROM ranked WHERE rank <= 10",
     "rrf_fusion": f"WITH {BM25_SQL} SELECT domain, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, count(*) AS hits FROM ranked WHERE rank <= 10 GROUP BY domain, doc_id",
     "cosine_topk": """
 WITH q AS (SELECT e.label, e.vec_id AS query_id, e.embedding::DOUBLE[] AS a FROM embeddings e WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
 scored AS (SELECT q.label, query_id, vec_id, round(list_cosine_similarity(a, embedding::DOUBLE[]), 9) AS score FROM q JOIN embeddings e ON q.label = e.label AND vec_id <> query_id)
+SELECT label, query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10""",
+    "cosine_topk_all": """
+WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS a FROM embeddings),
+scored AS (SELECT q.label, q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(q.a, d.a), 9) AS score FROM v q JOIN v d ON q.label = d.label AND d.vec_id <> q.vec_id)
 SELECT label, query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10""",
 }
 

@@ -2,6 +2,7 @@ import math
 import re
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,25 @@ def test_fusion_by_hand(spark):
     assert [(r.doc, r.hits) for r in rows] == [(2, 2), (1, 1)] and rows[0].rrf_score == pytest.approx(1 / 62 + 1 / 61, abs=1e-9)
 
 
+def test_cosine_of_every_row(spark, sf):
+    """Every vector that shares its label gets its neighbours, in chunks or not, as brute force says."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    by_label = {}
+    for r in rows:
+        by_label.setdefault(r.label, []).append((r.vec_id, np.array(r.embedding, float)))
+    want = {}
+    for group in by_label.values():
+        for i, a in group:
+            best = sorted((-round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 6), j) for j, b in group if j != i)[:10]
+            if best:
+                want[i] = [-x for x, _ in best]
+    got = {}
+    for r in catalog.queries()["cosine_topk_all"](spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    assert got.keys() == want.keys() and len(got) > len(by_label)
+    assert all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
+
+
 def test_macros_are_all_replaced():
     for d in catalog.MACROS:
         for text in catalog.PLANS.values():
