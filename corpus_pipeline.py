@@ -42,7 +42,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A fitted classifier, a tokenizer and boosted trees are beyond SQL; tests hold run() against a plain Python version.
+#: A fitted classifier, a tokenizer and boosted trees are beyond SQL; no test compares run() with a plain Python version yet.
 ORACLE_SQL = None
 
 
