@@ -38,11 +38,11 @@ FOUR_BYTES = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 #: Candidate generators: kind, pattern, and what a text must match to be scanned.
 CUE_NAMES = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key"
 GENERATORS = (
-    ("secret", rf"(?<=(?i:{CUE_NAMES})[\x20]{{0,3}}[=:][\x20]{{0,3}}[\x22\x27]?)(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_/+.-]{{8,256}}", r"(?i)(?:token|secret|passw|pwd|[_-]?key)[^\n=:]{0,6}[=:]"),
+    ("secret", rf"(?<=(?i:{CUE_NAMES})[\x20]{{0,3}}[=:][\x20]{{0,3}}[\x22\x27]?)(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_/+.-]{{8,}}+", r"(?i)(?:token|secret|passw|pwd|[_-]?key)[^\n=:]{0,6}[=:]"),
     ("phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)[\x20]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z-])", r"[0-9]{3}[\x20.-][0-9]{3}"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}[\x20]?[A-Z0-9]{4}"),
-    ("email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,40}[\x20]?[\[(][\x20]?(?i:at)[\x20]?[\])][\x20]?[A-Za-z0-9-]{2,40}[\x20]?(?:[\[(][\x20]?(?i:dot)[\x20]?[\])]|\.)[\x20]?[A-Za-z]{2,10}", r"(?i)[\[(][\x20]?at[\x20]?[\])]"),
+    ("email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+[\x20]?[\[(][\x20]?(?i:at)[\x20]?[\])][\x20]?[A-Za-z0-9-]{2,}+[\x20]?(?:[\[(][\x20]?(?i:dot)[\x20]?[\])]|\.)[\x20]?[A-Za-z]{2,}+", r"(?i)[\[(][\x20]?at[\x20]?[\])]"),
 )
 GENERATED = tuple(k for k, _, _ in GENERATORS)
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 import textwrap
 from collections import Counter
 
@@ -85,6 +87,21 @@ def test_redaction(spark, docs):
     assert out.count() == len(TEXTS) + 1 and pii.redacted(docs.where("false")).count() == 0
 
 
+def test_long_values(spark):
+    """A value is found and redacted to its end, however long."""
+    r = random.Random(3)
+    long = lambda n, extra="": "".join(r.choice(string.ascii_letters + string.digits + extra) for _ in range(n))
+    jwt = f"eyJhbGciOiJSUzI1NiJ9.{long(400)}.{long(342, '_-')}"
+    values = [("secret", long(n)) for n in (256, 257, 600, 5000)] + [("secret", jwt)]
+    values += [("email", f"{'n' * n}ame [at] {'m' * n}ail [dot] {tail}") for n, tail in ((37, "com"), (38, "com"), (60, "org"), (300, "com"), (3, "international"))]
+    d = spark.createDataFrame([(i, f"token = {v}, end" if k == "secret" else f"write {v}, end") for i, (k, v) in enumerate(values)], "doc_id long, text string")
+    found = {x.doc_id: [(s.kind, s.value) for s in x._more] for x in pii.find(d, keep=("doc_id",)).collect()}
+    texts = {x.doc_id: x.text for x in pii.redacted(d).collect()}
+    for i, (kind, value) in enumerate(values):
+        assert found[i] == [(kind, value)]
+        assert texts[i] == ("token = [SECRET], end" if kind == "secret" else "write [EMAIL], end")
+
+
 def test_features_in_both_forms(spark):
     rows = pii.made_up(5, 60)
     df = spark.createDataFrame([(i, k, v, b) for i, (k, v, b, _) in enumerate(rows)], "i int, kind string, value string, before string")
