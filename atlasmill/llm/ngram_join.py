@@ -22,6 +22,7 @@ columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -36,7 +37,8 @@ from atlasmill.llm.components import components
 
 #: A bucket up to this size gives all its pairs.
 SMALL = 8
-LEADERS = 8
+#: The ratio of neighbouring classes of sizes.
+SLOT = 1.04
 REMEMBERED = 500_000
 TAG_BITS = 6
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -100,8 +102,8 @@ class Sketcher:
         spare = 1 + (differ + 1) // 6
         return differ + 1 + spare, spare
 
-    def __call__(self, members: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(band, spare, keys) for the one or two bands of the set."""
+    def __call__(self, members: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
+        """(band, spare, groups, keys) for the one or two bands of the set; groups without a member have no key."""
         n = len(members)
         home = bisect_right(self.starts, n) - 1
         out = []
@@ -120,14 +122,14 @@ class Sketcher:
             sums = np.zeros(want, np.uint64)
             at, first = np.unique(group[by], return_index=True)
             if len(at):
-                sums[at] = np.bitwise_xor.reduceat(mix(own[by] * M1), first)
-            keys = mix(sums + np.arange(1, want + 1, dtype=np.uint64) * M2 + np.uint64((j + 1) * int(M3) & (1 << 64) - 1))
-            out.append((j, spare, (keys & ~np.uint64((1 << TAG_BITS) - 1)) | np.uint64(j)))
+                sums = np.bitwise_xor.reduceat(mix(own[by] * M1), first)
+            keys = mix(sums[: len(at)] + (at + 1).astype(np.uint64) * M2 + np.uint64((j + 1) * int(M3) & (1 << 64) - 1))
+            out.append((j, spare, want, (keys & ~np.uint64((1 << TAG_BITS) - 1)) | np.uint64(j)))
         return out
 
 
 def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row and band: doc_id, n, fp (of the set), band, spare, keys; one row without keys where there is no band."""
+    """Per row and band: doc_id, n, fp (of the set), band, spare, g (groups), empty (those without a key), keys; one row without keys where there is no band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -138,12 +140,12 @@ def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(t.as_py())
                 fp = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                for i, (j, spare, keys) in enumerate(sketch(s) or [(None, 0, np.zeros(0, np.uint64))]):
-                    rows.append((k, len(s), fp, i == 0, j, spare, keys.view(np.int64)))
-            ids, n, fp, first, band, spare, keys = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(first, pa.bool_()), pa.array(band, pa.int32()), pa.array(spare, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "first", "band", "spare", "keys"])
+                for i, (j, spare, g, keys) in enumerate(sketch(s) or [(None, 0, 0, np.zeros(0, np.uint64))]):
+                    rows.append((k, len(s), fp, i == 0, j, spare, g, g - len(keys), keys.view(np.int64)))
+            ids, n, fp, first, band, spare, g, empty, keys = zip(*rows, strict=True) if rows else [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(first, pa.bool_()), pa.array(band, pa.int32()), pa.array(spare, pa.int32()), pa.array(g, pa.int32()), pa.array(empty, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "first", "band", "spare", "g", "empty", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp binary, first boolean, band int, spare int, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, fp binary, first boolean, band int, spare int, g int, empty int, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -188,11 +190,6 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, packed binary")
 
 
-def _pairs(listed: DataFrame) -> DataFrame:
-    """All pairs (a < b) of each short sorted list, with the band of its bucket."""
-    return listed.select(_band(), F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b", "band")
-
-
 def _band() -> Column:
     return F.col("key").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).cast("int").alias("band")
 
@@ -203,67 +200,124 @@ def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return stash(_packed(rows).join(asked, "doc_id", "left_semi"), "texts")
 
 
-def _near_enough(counted: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, band, shared) whose sketches can be near enough: of the groups that both publish, no more
-    differ than sets of these sizes may. Groups in large buckets were not counted; both may share them all."""
-    one = facts.select(F.col("doc_id").alias("a"), "band", F.col("n").alias("na"), F.col("g").alias("ga"), F.col("hot").alias("ha"))
-    two = facts.select(F.col("doc_id").alias("b"), "band", F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("hot").alias("hb"))
+def _bucketed(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to verify from small buckets, and the crowded sets (doc_id): those with more large buckets than
+    they can spare. Pairs of two crowded sets are left to _crowded, so no row is made for them here."""
+    facts = own.select("doc_id", "band", "n", "g", "spare", "empty")
+    keys = own.select("doc_id", F.explode("keys").alias("key"))
+    shared = stash(keys.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("cnt > 1"), "shared")
+    let_go(own.sparkSession)
+    more = stash(keys.join(shared.where("cnt > 2").select("key", "cnt"), "key"), "buckets")
+    let_go(own.sparkSession)
+    n_hot = more.where(F.col("cnt") > SMALL).groupBy("doc_id", _band()).agg(F.count(F.lit(1)).alias("hot"))
+    hot = F.coalesce("hot", F.lit(0)) + F.col("empty")
+    level = stash(facts.join(n_hot, ["doc_id", "band"], "left").withColumn("hot", hot), "level")
+    crowded = stash(level.where("hot > spare").select("doc_id").distinct(), "crowded")
+    small = more.where(F.col("cnt") <= SMALL).join(crowded.withColumn("c", F.lit(True)), "doc_id", "left")
+    lists = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("c", F.lit(False)).alias("c")))).alias("ids")).where("exists(ids, x -> not x.c)")
+    two = F.transform("ids", lambda x, i: F.transform(F.filter(F.slice("ids", i + 2, F.size("ids")), lambda y: ~(x.c & y.c)), lambda y: F.struct(x.doc_id.alias("a"), y.doc_id.alias("b"))))
+    pairs = lists.select(_band(), F.explode(F.flatten(two)).alias("p")).select("p.a", "p.b", "band")
+    counted = shared.where("cnt = 2 and a < b").select("a", "b", _band()).union(pairs).groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("shared"))
+    known = level.join(crowded.withColumn("c", F.lit(True)), "doc_id", "left").withColumn("c", F.coalesce("c", F.lit(False)))
+    one = known.select(F.col("doc_id").alias("a"), "band", F.col("n").alias("na"), F.col("g").alias("ga"), F.col("hot").alias("ha"), F.col("c").alias("ca"))
+    other = known.select(F.col("doc_id").alias("b"), "band", F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("hot").alias("hb"), F.col("c").alias("cb"))
+    # Of the groups that both publish no more differ than sets of these sizes may. Groups in large buckets
+    # were not counted; both may share them all.
     differ = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     enough = F.col("shared") + F.least("ha", "hb") >= F.least("ga", "gb") - differ
-    return counted.join(one, ["a", "band"]).join(two, ["b", "band"]).where(fits & enough).select("a", "b")
+    near = counted.join(one, ["a", "band"]).join(other, ["b", "band"], "inner").where(fits & enough & ~(F.col("ca") & F.col("cb")))
+    out = stash(near.select("a", "b").distinct(), "pairs")
+    for table in (shared, more, level):
+        unstash(table)
+    return out, crowded
+
+
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """The least intersection of linked sets of sizes n and m."""
+    return F.ceil(percent * (n + m) / F.lit(100.0 + percent)).cast("long")
+
+
+def _slot(n: Column) -> Column:
+    """Narrow classes of sizes."""
+    return F.floor(F.log(n.cast("double")) / math.log(SLOT)).cast("int")
+
 
+def _prefixes(rows: DataFrame, crowded: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n, rare, m, cnt, at: of each crowded set the members, rarest first, among which linked sets must meet.
 
-def _candidates(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs to verify, and the rows (key, doc_id) of large buckets that settle only by components.
+    Members that no other crowded set holds come first and are not listed; at is the place from 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    A set that shares more large buckets than it can spare is looked at again among such sets only,
-    where many of its buckets are small, until that hardly thins them any more.
+        shingles, unpack = Shingler(words), zstandard.ZstdDecompressor()
+        for b in batches:
+            sets = [shingles(unpack.decompress(t.as_py())).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "members"])
+
+    texts = _packed(rows).join(crowded, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = stash(texts.mapInArrow(run, "doc_id long, members array<long>"), "crowded-sets")
+    each = sets.select("doc_id", F.size("members").alias("n"), F.explode("members").alias("m"))
+    often = stash(each.groupBy("m").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1"), "often")
+    let_go(rows.sparkSession)
+    listed = each.join(often, "m").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("cnt", "m"))).alias("l"))
+    first = F.col("n") - F.size("l")
+    last = F.col("n") - _needed(F.col("n"), F.ceil(F.col("n") * percent / 100.0), percent)
+    # No place after `last` can be the first that two linked sets share.
+    kept = listed.withColumn("rare", first).withColumn("l", F.slice("l", 1, F.greatest(F.lit(0), last - first + 1).cast("int")))
+    out = stash(kept.select("doc_id", "n", "rare", F.posexplode("l").alias("i", "x")).select("doc_id", "n", "rare", "x.m", "x.cnt", (F.col("rare") + F.col("i")).alias("at")), "prefixes")
+    unstash(sets)
+    unstash(often)
+    let_go(rows.sparkSession)
+    return out
+
+
+def _may_link(percent: int) -> Column:
+    """Whether sets of n1 and n2 members whose first common ones are at at1 and at2 can have enough in common."""
+    left = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    return left >= _needed(F.col("n1"), F.col("n2"), percent)
+
+
+def _crowded(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of crowded sets to verify at once, and both sides of the buckets that settle by components.
+
+    A member that few sets hold gives its pairs. One that many hold is a bucket for each class of
+    sizes: the smaller set of a pair stands in the class of its own size, the larger asks there. How far
+    down its list a set must publish shrinks as the sizes draw together, so of a crowd of near copies only
+    those stand in a common bucket that have few members of their own. There everyone is verified
+    against the member with the fewest of its own.
     """
-    spark = own.sparkSession
-    facts = own.select("doc_id", "band", "n", "g", "spare")
-    keys, found, before = own.select("doc_id", F.explode("keys").alias("key")), [], None
-    while True:
-        shared = stash(keys.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("cnt > 1"), "shared")
-        let_go(spark)
-        more = stash(keys.join(shared.where("cnt > 2").select("key", "cnt"), "key"), "buckets")
-        let_go(spark)
-        small = more.where(F.col("cnt") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-        counted = shared.where("cnt = 2 and a < b").select("a", "b", _band()).union(_pairs(small)).groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("shared"))
-        hot = more.where(F.col("cnt") > SMALL).select("key", "doc_id", _band())
-        n_hot = hot.groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("hot"))
-        level = stash(facts.join(n_hot, ["doc_id", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(0))), "level")
-        found.append(_near_enough(counted, level, percent))
-        unsure = level.where("hot > spare").select("doc_id", "band")
-        left = stash(hot.join(unsure, ["doc_id", "band"]).select("doc_id", "key"), "unsure")
-        now = left.count()
-        if now == 0 or (before is not None and 10 * now > 9 * before):
-            break
-        before, keys = now, left
-    core = None
-    if now:
-        core = left
-        leaders = core.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"] for i in range(LEADERS)])).alias("leaders"))
-        leaders = stash(leaders, "leaders")  # a written side lets a skewed bucket be split
-        found.append(core.join(leaders, "key").select("doc_id", F.explode("leaders").alias("leader")).where("doc_id != leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")))
-    pairs = found[0]
-    for more_pairs in found[1:]:
-        pairs = pairs.union(more_pairs)
-    return stash(pairs.distinct(), "pairs"), core
-
-
-def _unsettled(core: DataFrame, roots: DataFrame, own: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of core documents that share a bucket but no component yet: in each bucket, whoever is outside its main component, with all."""
-    placed = stash(core.join(roots, core.doc_id == roots.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root")), "placed")
-    per = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = stash(per.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main"), "main")
-    still = placed.join(main, "key")
-    asking = still.where("root != main").select("key", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.lit(True).alias("out"))
-    met = asking.join(still.select("key", F.col("doc_id").alias("y"), F.col("root").alias("ry"), (F.col("root") != F.col("main")).alias("too")), "key").where("rx != ry and (x < y or not too)")
-    counted = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), _band()).groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("shared"))
-    # All buckets that a pair of two components shares are open, so the count is whole.
-    near = _near_enough(counted, own.select("doc_id", "band", "n", "g", F.lit(0).alias("hot")), percent).distinct()
-    return stash(near.join(pairs, ["a", "b"], "left_anti"), "rest")
+    few = prefixes.where(F.col("cnt") <= SMALL).groupBy("m").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n", "at"))).alias("l"))
+    two = F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.doc_id.alias("a"), y.doc_id.alias("b"), x.n.alias("n1"), y.n.alias("n2"), x["at"].alias("at1"), y["at"].alias("at2"))))
+    direct = few.select(F.explode(F.flatten(two)).alias("p")).select("p.*").where(_may_link(percent)).select("a", "b").distinct()
+    many = prefixes.where(F.col("cnt") > SMALL)
+    n, at = F.col("n"), F.col("at")
+    stands = stash(many.where(at <= n - _needed(n, n, percent)).select("m", _slot(n).alias("slot"), F.col("doc_id").alias("b"), n.alias("n2"), at.alias("at2"), "rare"), "standing")
+    least = F.ceil(n * percent / 100.0)
+    low = F.greatest(least, F.floor(F.pow(F.lit(SLOT), F.col("slot"))) - 1)
+    asks = many.withColumn("slot", F.explode(F.sequence(_slot(least), _slot(n)))).where(at <= n - _needed(n, low, percent))
+    asks = asks.select("m", "slot", F.col("doc_id").alias("a"), n.alias("n1"), at.alias("at1"))
+    leaders = stands.groupBy("m", "slot").agg(F.min(F.struct("rare", F.xxhash64("b"), "b", "n2", "at2")).alias("x")).select("m", "slot", "x.b", "x.n2", "x.at2")
+    asks = stash(asks.join(leaders.select("m", "slot"), ["m", "slot"], "left_semi"), "asking")  # a written side lets a skewed bucket be split
+    led = asks.join(leaders, ["m", "slot"]).where(F.col("a") != F.col("b")).where(_may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stash(direct.union(led).distinct(), "crowded-pairs"), asks, stands
+
+
+def _unsettled(asks: DataFrame, stands: DataFrame, roots: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a bucket but no component yet: in each bucket, whoever is outside its main component, with all."""
+    at = ["m", "slot"]
+    placed = lambda side, who, root: side.join(roots, side[who] == roots.node, "left").withColumn(root, F.coalesce("root", who)).drop("node", "root")
+    asks, stands = stash(placed(asks, "a", "ra"), "asking"), stash(placed(stands, "b", "rb"), "standing")
+    per = asks.select(*at, F.col("ra").alias("r")).union(stands.select(*at, F.col("rb").alias("r"))).groupBy(*at, "r").agg(F.count(F.lit(1)).alias("k"))
+    main = stash(per.groupBy(*at).agg(F.max(F.struct("k", "r"))["r"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select(*at, "main"), "main")
+    asks, stands = asks.join(main, at), stands.join(main.withColumnRenamed("main", "_main"), at)
+    able = (F.col("a") != F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("n2") <= F.col("n1")) & _may_link(percent)
+    met = asks.where("ra != main").join(stands, at).where(able).select("a", "b")
+    met = met.union(asks.where("ra = main").join(stands.where("rb != _main"), at).where(able).select("a", "b"))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stash(met.join(pairs, ["a", "b"], "left_anti"), "rest")
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -274,15 +328,23 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
     members = stash(every.where("first").select("doc_id", "n", "fp"), "members")
     nodes = stash(members.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     # One row per set and band; the id in the join key spreads groups of copies.
-    own = stash(every.where(F.size("keys") > 0).join(nodes, (every.fp == nodes.fp) & (every.doc_id == nodes.node), "left_semi").dropDuplicates(["doc_id", "fp", "band"]).select("doc_id", "band", "n", F.size("keys").alias("g"), "spare", "keys"), "own")
+    own = stash(every.where("g > 0").join(nodes, (every.fp == nodes.fp) & (every.doc_id == nodes.node), "left_semi").dropDuplicates(["doc_id", "fp", "band"]).select("doc_id", "band", "n", "g", "spare", "empty", "keys"), "own")
     unstash(every)
     let_go(spark)
-    pairs, core = _candidates(own, percent)
+    pairs, crowded = _bucketed(own, percent)
+    unstash(own)
+    asks = stands = None
+    if not crowded.isEmpty():
+        prefixes = _prefixes(rows, crowded, words, percent)
+        more, asks, stands = _crowded(prefixes, percent)
+        pairs = stash(pairs.union(more), "pairs")
     texts = _texts_of(rows, pairs)
     links = stash(_verified(pairs, texts, words, percent), "links")
+    unstash(texts)
+    let_go(spark)
     roots = components(links, "a", "b")
-    if core is not None:
-        rest = _unsettled(core, roots, own, pairs, percent)
+    if asks is not None:
+        rest = _unsettled(asks, stands, roots, pairs, percent)
         if not rest.isEmpty():
             further = _verified(rest, _texts_of(rows, rest), words, percent)
             roots = components(stash(links.union(further), "links"), "a", "b")
