@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM + 1
 HALF = SPAN // 2
-ROWS_AT_ONCE = 20_000
+ROWS_AT_ONCE = 50_000
+TEXTS_AT_ONCE = 500
+NAMES = ["key", "doc_id", "t", "first", "place", "size", "stretch"]
 PRIME = np.int64(2**31 - 1)
 BASE = 1_000_003
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -87,6 +90,10 @@ class Suffixes:
         d = (self.wide[j + length] - self.wide[j]) * self.wpower[self.n - j]
         return (a == b) & (c == d)
 
+    def digest(self, i: np.ndarray, length: int) -> np.ndarray:
+        """A hash of `length` bytes from i, wherever they stand."""
+        return (self.wide[i + length] - self.wide[i]) * self.wpower[self.n - i] ^ ((self.small[i + length] - self.small[i]) % PRIME * self.power[self.n - i] % PRIME).astype(np.uint64) * M2
+
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common extension, at most LENGTH, by binary search."""
         low, step = np.zeros(len(i), np.int64), 32
@@ -138,20 +145,16 @@ class Suffixes:
         return order
 
 
-def least_documents(texts: list[bytes], docs: np.ndarray, bucket: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    """For each stretch, the least document that holds each of its windows within its bucket.
+def least_documents(suffixes: Suffixes, heads: np.ndarray, sizes: np.ndarray, docs: np.ndarray, bucket: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least document that holds each window of each stretch within its bucket, and the windows before each stretch.
 
     Equal windows hold their anchor at the same place, so each place in the window is a bucket of its own.
     """
-    sizes = np.array([len(t) for t in texts])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    windows = sizes - LENGTH + 1
-    heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    data, windows = suffixes.data, sizes - LENGTH + 1
     ends = np.cumsum(windows)
     window = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
     start = np.repeat(heads, windows) + window
     own, filed = np.repeat(docs, windows), np.repeat(bucket * LENGTH + places, windows) - window
-    suffixes = Suffixes(data)
     by = np.argsort(filed, kind="stable")
     order = by[suffixes.order(start[by], filed[by])]
     s, f = start[order], filed[order]
@@ -165,51 +168,96 @@ def least_documents(texts: list[bytes], docs: np.ndarray, bucket: np.ndarray, pl
     least = np.repeat(np.minimum.reduceat(own[order], group), np.diff(np.concatenate([group, [len(order)]])))
     out = np.empty(len(order), np.int64)
     out[order] = least
-    return np.split(out, ends[:-1])
+    return out, ends - windows
+
 
+def _meet(suffixes: Suffixes, heads: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether a stretch can share a window with another one of its bucket.
 
-def _cores(text: bytes, place: int) -> list[bytes]:
-    """What every window of a stretch holds around its anchor: the anchor with what follows, or with what precedes."""
-    out = []
-    if len(text) >= place + HALF + GRAM:
-        out.append(text[place : place + HALF + GRAM])
-    if place >= HALF:
-        out.append(b"<" + text[place - HALF : place + GRAM])
+    Every window of a stretch holds, around its anchor, the anchor with what follows or with what
+    precedes; different stretches can share a window only if they share such a core.
+    """
+    out = np.zeros(len(heads), bool)
+    size = HALF + GRAM
+    after, before = np.flatnonzero(sizes >= places + size), np.flatnonzero(places >= HALF)
+    for at, begin in ((after, heads + places), (before, heads + places - HALF)):
+        value = suffixes.digest(begin[at], size) * M1 ^ bucket[at].astype(np.uint64) * M2
+        _, back, count = np.unique(value, return_inverse=True, return_counts=True)
+        out[at[count[back] > 1]] = True
     return out
 
 
-def covered(keys: list[int], docs: list[int], first: list[int], places: list[int], texts: list[bytes]) -> list[tuple[int, int, int]]:
-    """(row, start, end) of removed stretches; rows are sorted by key and whole buckets are given."""
-    unique: dict[tuple[int, bytes], int] = {}
-    of, least, met, cores, anchor = [], [], {}, [], []
-    for k, d, p, t in zip(keys, docs, places, texts, strict=True):
-        u = unique.setdefault((k, t), len(unique))
-        of.append(u)
-        if u == len(least):
-            least.append(d)
-            anchor.append(p)
-            cores.append([(k, c) for c in _cores(t, p)])
-            for c in cores[u]:
-                met[c] = met.get(c, 0) + 1
-        elif d < least[u]:
-            least[u] = d
-    # Different stretches can share a window only if they share a core.
-    several = [(k, t, u) for (k, t), u in unique.items() if any(met[c] > 1 for c in cores[u])]
-    found: dict[int, np.ndarray] = {}
-    if several:
-        number = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in several))}
-        several.sort(key=lambda x: number[x[0]])
-        got = least_documents([t for _, t, _ in several], np.array([least[u] for _, _, u in several]), np.array([number[k] for k, _, _ in several]), np.array([anchor[u] for _, _, u in several]))
-        found = {u: g for (_, _, u), g in zip(several, got, strict=True)}
-    out = []
-    for row, (u, d) in enumerate(zip(of, docs, strict=True)):
-        if least[u] < d:
-            out.append((row, first[row], first[row] + len(texts[row])))
-        elif u in found and (hit := np.flatnonzero(found[u] < d)).size:
-            cut = np.flatnonzero(np.concatenate([[True], hit[1:] > hit[:-1] + 1]))
-            for a, b in zip(hit[cut], hit[np.concatenate([cut[1:] - 1, [len(hit) - 1]])], strict=True):
-                out.append((row, first[row] + int(a), first[row] + int(b) + LENGTH))
-    return out
+def _firsts(keys: np.ndarray, docs: np.ndarray, stretch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of key, stretch and document; the group of each in this order; the first row of each group."""
+    codes = stretch.dictionary_encode().indices.to_numpy()
+    order = np.lexsort((docs, codes, keys))
+    k, c = keys[order], codes[order]
+    head = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+    return order, np.cumsum(head) - 1, order[head]
+
+
+def covered(keys: np.ndarray, docs: np.ndarray, first: np.ndarray, places: np.ndarray, stretch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of removed stretches; whole buckets are given.
+
+    Of equal stretches the least document's stands for all: the others go whole.
+    """
+    order, group, firsts = _firsts(keys, docs, stretch)
+    sizes = pc.binary_length(stretch).to_numpy(zero_copy_only=False).astype(np.int64)
+    whole = order[docs[order] > docs[firsts][group]]
+    out = [(whole, first[whole], first[whole] + sizes[whole])]
+    key = keys[firsts]
+    several = np.zeros(len(firsts), bool)
+    alike = key[1:] == key[:-1]
+    several[1:] |= alike
+    several[:-1] |= alike
+    at = np.flatnonzero(several)
+    if len(at):
+        rows = firsts[at]
+        size = sizes[rows]
+        suffixes = Suffixes(np.frombuffer(b"".join(stretch.take(pa.array(rows)).to_pylist()), np.uint8))
+        heads = np.cumsum(size) - size
+        bucket = np.cumsum(np.concatenate([[True], key[at][1:] != key[at][:-1]])).astype(np.int64)
+        meet = np.flatnonzero(_meet(suffixes, heads, size, bucket, places[rows]))
+        if len(meet):
+            rows = rows[meet]
+            least, start = least_documents(suffixes, heads[meet], size[meet], docs[rows], bucket[meet], places[rows])
+            windows = size[meet] - LENGTH + 1
+            of = np.repeat(np.arange(len(rows)), windows)
+            hit = np.flatnonzero(least < docs[rows][of])
+            new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (of[hit][1:] != of[hit][:-1])])[: len(hit)]
+            last = np.concatenate([new[1:], [True]])[: len(hit)]
+            u, a, b = of[hit[new]], hit[new] - start[of[hit[new]]], hit[last] - start[of[hit[new]]] + LENGTH
+            out.append((rows[u], first[rows[u]] + a, first[rows[u]] + b))
+            # The same document may hold the same stretch again.
+            again = np.setdiff1d(order[docs[order] == docs[firsts][group]], firsts)
+            if len(again):
+                of_row = np.empty(len(keys), np.int64)
+                of_row[order] = group
+                runs: dict[int, list[int]] = {}
+                for i, g in enumerate(of_row[rows[u]]):
+                    runs.setdefault(int(g), []).append(i)
+                more = [(r, first[r] + a[i], first[r] + b[i]) for r in again for i in runs.get(int(of_row[r]), ())]
+                if more:
+                    out.append(tuple(np.array(x) for x in zip(*more, strict=True)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _thinned(held: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Splits the rows of buckets into those that must stay for comparison and those whose stretch goes whole."""
+    docs, stretch = held.column("doc_id").to_numpy(), held.column("stretch").combine_chunks()
+    order, group, firsts = _firsts(held.column("key").to_numpy(), docs, stretch)
+    gone = np.zeros(len(docs), bool)
+    gone[order] = docs[order] > docs[firsts][group]
+    return held.filter(pa.array(~gone)), held.filter(pa.array(gone))
+
+
+def _spans(rows: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), rows.column("t").combine_chunks(), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "t", "a", "b"])
+
+
+def _whole(rows: pa.Table) -> pa.RecordBatch:
+    a = rows.column("first").to_numpy()
+    return _spans(rows, a, a + rows.column("size").to_numpy())
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -261,43 +309,63 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         import zstandard
 
         d = zstandard.ZstdDecompressor()
-        names = ["key", "doc_id", "t", "first", "place", "stretch"]
+        kinds = [pa.int64()] * 6 + [pa.binary()]
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                out: list[list] = [[], [], [], [], [], []]
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
+                out: list[list] = [[] for _ in range(6)]
+                texts: list[bytes] = []
+                part = b.slice(at, TEXTS_AT_ONCE)
                 for k, t, packed, keys in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3), strict=True):
                     text = d.decompress(packed.as_py())
                     own, first, last, place = anchors(text)
-                    for i in np.flatnonzero(np.isin(own, keys.values.to_numpy())):
-                        for x, v in zip(out, (own[i], k, t, first[i], place[i], text[first[i] : last[i] + LENGTH]), strict=True):
-                            x.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=names)
-
-    sent = texts.select("doc_id", "t", "packed").join(lists, ["doc_id", "t"]).select("doc_id", "t", "packed", "keys").mapInArrow(stretches, "key long, doc_id long, t long, first long, place long, stretch binary")
+                    hit = np.flatnonzero(np.isin(own, keys.values.to_numpy()))
+                    end = last[hit] + LENGTH
+                    for x, v in zip(out, (own[hit], np.full(len(hit), k), np.full(len(hit), t), first[hit], place[hit], end - first[hit]), strict=True):
+                        x.append(v)
+                    texts += [text[i:j] for i, j in zip(first[hit].tolist(), end.tolist(), strict=True)]
+                columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+                table = pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip([*columns, texts], kinds, strict=True)], names=NAMES)
+                # A stretch that an earlier document of these holds too goes whole: it need not travel.
+                stay, gone = _thinned(table)
+                yield from stay.to_batches()
+                bare = pa.array([None] * len(gone), pa.binary())
+                yield from gone.set_column(0, "key", gone.column("doc_id")).set_column(6, "stretch", bare).to_batches()
+
+    sent = texts.select("doc_id", "t", "packed").join(lists, ["doc_id", "t"]).select("doc_id", "t", "packed", "keys").mapInArrow(stretches, "key long, doc_id long, t long, first long, place long, size long, stretch binary")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.Table] = []
+        rows, most = 0, ROWS_AT_ONCE
 
         def flush(table: pa.Table) -> pa.RecordBatch:
-            keys, docs_, ts, first, place, stretch = (table.column(i).to_pylist() for i in range(6))
-            got = covered(keys, docs_, first, place, stretch)
-            return pa.RecordBatch.from_arrays([pa.array([docs_[r] for r, _, _ in got], pa.int64()), pa.array([ts[r] for r, _, _ in got], pa.int64()), pa.array([a for _, a, _ in got], pa.int64()), pa.array([b for _, _, b in got], pa.int64())], names=["doc_id", "t", "a", "b"])
+            column = lambda name: table.column(name).to_numpy()
+            row, a, b = covered(column("key"), column("doc_id"), column("first"), column("place"), table.column("stretch").combine_chunks())
+            return _spans(table.take(pa.array(row)), a, b)
 
         for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) < ROWS_AT_ONCE:
+            table = pa.Table.from_batches([batch])
+            settled = table.filter(pc.is_null(table.column("stretch")))
+            if len(settled):
+                yield _whole(settled)
+                table = table.filter(pc.is_valid(table.column("stretch")))
+            held.append(table)
+            rows += len(table)
+            if rows < most:
                 continue
-            table = pa.Table.from_batches(held)
-            keys = table.column(0).to_numpy()
+            table = pa.concat_tables(held)
+            keys = table.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
             if cut:
                 yield flush(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-        if held:
-            yield flush(pa.Table.from_batches(held))
-
-    spans = sent.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key").mapInArrow(settle, "doc_id long, t long, a long, b long")
+            # Rows of a bucket come by document, so only the first of equal stretches need be kept.
+            table, gone = _thinned(table.slice(cut))
+            if len(gone):
+                yield _whole(gone)
+            held, rows, most = [table], len(table), max(ROWS_AT_ONCE, 2 * len(table))
+        if held and sum(map(len, held)):
+            yield flush(pa.concat_tables(held))
+
+    spans = sent.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "doc_id").mapInArrow(settle, "doc_id long, t long, a long, b long")
     spans = stash(spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
     let_go(spark)
 
