@@ -34,8 +34,9 @@ HALF = SPAN // 2
 ROWS_AT_ONCE = 50_000
 TEXTS_AT_ONCE = 500
 NAMES = ["key", "doc_id", "t", "first", "place", "size", "stretch"]
-PRIME = np.int64(2**31 - 1)
-BASE = 1_000_003
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+POWERS = np.array([pow(int(BASE), i, 2**64) for i in range(LENGTH + 1)], np.uint64)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -66,40 +67,26 @@ class Suffixes:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.data = data
-        power = np.ones(n + 1, np.int64)
-        filled, factor = 1, BASE
-        while filled < n + 1:  # doubling: the next stretch is the last one times a power
-            more = min(filled, n + 1 - filled)
-            power[filled : filled + more] = power[:more] * factor % PRIME
-            filled, factor = filled + more, int(factor * factor % int(PRIME))
-        value = data.astype(np.int64) + 1
-        self.small, self.power = np.zeros(n + 1, np.int64), power
-        np.cumsum(value * power[:n] % PRIME, out=self.small[1:])
-        self.small %= PRIME
-        wide = np.cumprod(np.full(n + 1, M1 | np.uint64(1), np.uint64)) * np.uint64(1)
-        self.wide, self.wpower = np.zeros(n + 1, np.uint64), wide
-        np.cumsum(value.astype(np.uint64) * wide[:n], out=self.wide[1:])
-        self.n = n
-
-    def same(self, i: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Whether the hashes of `length` bytes from i and from j agree."""
-        a = (self.small[i + length] - self.small[i]) % PRIME * self.power[self.n - i] % PRIME
-        b = (self.small[j + length] - self.small[j]) % PRIME * self.power[self.n - j] % PRIME
-        c = (self.wide[i + length] - self.wide[i]) * self.wpower[self.n - i]
-        d = (self.wide[j + length] - self.wide[j]) * self.wpower[self.n - j]
-        return (a == b) & (c == d)
-
-    def digest(self, i: np.ndarray, length: int) -> np.ndarray:
-        """A hash of `length` bytes from i, wherever they stand."""
-        return (self.wide[i + length] - self.wide[i]) * self.wpower[self.n - i] ^ ((self.small[i + length] - self.small[i]) % PRIME * self.power[self.n - i] % PRIME).astype(np.uint64) * M2
+        self.data, self.n = data, n
+        # Of the first i bytes: sum of byte j times BASE to the power i - 1 - j, modulo 2 ** 64. BASE is odd, so it has an inverse.
+        falling = np.cumprod(np.full(n + 1, INVERSE, np.uint64))
+        rising = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
+        self.hashed = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * falling[:n], out=self.hashed[1:])
+        self.hashed *= rising
+
+    def digest(self, i: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """The polynomial hash of `length` bytes from i, wherever they stand."""
+        return self.hashed[i + length] - self.hashed[i] * POWERS[length]
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common extension, at most LENGTH, by binary search."""
+        """Length of the common extension, at most LENGTH, by binary search over prefix hashes."""
+        a, b = self.hashed[i], self.hashed[j]
+        gap = a - b  # of prefixes of both, the hashes agree where those of the longer prefixes differ by just this
         low, step = np.zeros(len(i), np.int64), 32
         while step:
             up = np.minimum(low + step, LENGTH)
-            low = np.where(self.same(i, j, up), up, low)
+            low = np.where(self.hashed[i + up] - self.hashed[j + up] == gap * POWERS[up], up, low)
             step //= 2
         return low
 
