@@ -291,6 +291,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     lists = stash(filed.join(shared, "key").groupBy("doc_id", "t").agg(F.collect_list("key").alias("keys")), "anchors")
     unstash(anchored)
     let_go(spark)
+    # Written once, so the shuffles of this join are gone before the stretches are dealt.
+    held_texts = stash(texts.join(lists, ["doc_id", "t"]).select("doc_id", "t", "sha", "packed", "keys"), "held-texts")
+    for table in (texts, lists, shared):
+        unstash(table)
+    let_go(spark)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -318,7 +323,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 bare = pa.array([None] * len(gone), pa.binary())
                 yield from gone.set_column(0, "key", gone.column("doc_id")).set_column(6, "stretch", bare).to_batches()
 
-    sent = texts.select("doc_id", "t", "packed").join(lists, ["doc_id", "t"]).select("doc_id", "t", "packed", "keys").mapInArrow(stretches, "key long, doc_id long, t long, first long, place long, size long, stretch binary")
+    sent = held_texts.select("doc_id", "t", "packed", "keys").mapInArrow(stretches, "key long, doc_id long, t long, first long, place long, size long, stretch binary")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -375,7 +380,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 kept.append(left.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "sha", "n_removed", "n_spans", "kept"])
 
-    cut = texts.join(spans, ["doc_id", "t"]).select("doc_id", "sha", "packed", "spans").mapInArrow(finish, "doc_id long, sha string, n_removed long, n_spans long, kept string")
+    cut = held_texts.drop("keys").join(spans, ["doc_id", "t"]).select("doc_id", "sha", "packed", "spans").mapInArrow(finish, "doc_id long, sha string, n_removed long, n_spans long, kept string")
     result = stash(firsts.join(cut, ["doc_id", "sha"], "left").select("sha", F.col("doc_id").alias("_first"), "n_removed", "n_spans", "kept"), "results")
     out = members.join(result, "sha", "left")
     copy = F.col("_first").isNotNull() & (F.col("doc_id") != F.col("_first"))
