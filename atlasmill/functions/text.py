@@ -16,7 +16,7 @@ def _normal(text: str) -> str:
 
 
 def _digest(value: object) -> str:
-    return hashlib.sha256(json.dumps(value, ensure_ascii=False).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
 
 
 @F.pandas_udf(T.StringType())
@@ -73,6 +73,28 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
 
-def redacted(text: Column) -> Column:
-    """Keys of the form sk-... replaced."""
-    return F.regexp_replace(text, r"sk-[A-Za-z0-9_-]{8,}", "[REDACTED]")
+#: Fixed value: the form of a key.
+KEY = r"\bsk-[A-Za-z0-9_-]{12,}\b"
+REDACTED = "[REDACTED]"
+
+
+def redacted(text: Column, secrets: list[str] = ()) -> Column:
+    """The configured secrets and anything of the form of a key replaced; null stays null."""
+    for secret in secrets:
+        if secret:
+            text = F.replace(text, F.lit(secret), F.lit(REDACTED))
+    return F.regexp_replace(text, KEY, REDACTED)
+
+
+def redacted_deep(value: Column, kind: T.DataType, secrets: list[str] = ()) -> Column:
+    """The same for every string inside structs, arrays and the values of maps."""
+    if isinstance(kind, T.StringType):
+        return redacted(value, secrets)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redacted_deep(x, kind.elementType, secrets))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: redacted_deep(v, kind.valueType, secrets))
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[redacted_deep(value[f.name], f.dataType, secrets).alias(f.name) for f in kind])
+        return F.when(value.isNotNull(), fields)
+    return value

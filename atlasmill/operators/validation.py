@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from atlasmill.operators.retrieval import folded
+
 
 def _sure(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
 def squeezed(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return folded(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
 def distinct_texts(texts: Column, least: int, most: int) -> Column:

@@ -14,10 +14,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    """Runs SQL over the folder's tables, each read only if named; views get names of their own per folder."""
-    suffix = re.sub(r"\W", "_", folder)
-    for name in TABLES:
-        if re.search(rf"\b{name}\b", text):
-            table(spark, folder, name).createOrReplaceTempView(f"{name}_{suffix}")
-            text = re.sub(rf"(?<![\w.']){name}(?![\w(])", f"{name}_{suffix}", text)
-    return spark.sql(text)
+    """Runs SQL over the folder's tables. Tables are passed as DataFrames where the text names them after FROM or JOIN,
+    so no view is left behind and columns may be called like tables."""
+    used: set[str] = set()
+
+    def put(m: re.Match) -> str:
+        used.add(m[2])
+        return f"{m[1]} {{{m[2]}}}"
+
+    text = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", put, text.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(text, **{n: table(spark, folder, n) for n in used})
