@@ -7,8 +7,9 @@ document's cosines with all of them are computed in blocks. The nearest vote wit
 similarity as weight.
 
 Nulls: a null text is empty; texts without words get the prior. Very long texts are read whole.
-Empty tables give empty results; without labels every score is the prior. Repeated rows score
-alike; columns other than id and text are ignored.
+Empty tables give empty results; without labels every score is the prior. Repeated rows and equal texts
+score alike, to the last digit; of labelled rows equally near the earlier by id votes. Columns other than id and
+text are ignored by classify and kept by accepted, also those whose names clash with the added ones.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ NEIGHBOURS = 31
 THRESHOLD = 0.3
 WORD_BUCKETS = 256
 SHARES = 5
+ROWS_AT_ONCE = 1024
 #: Character classes: 0 lower, 1 upper, 2 digit, 3 space, 4 line end, 5 full stop, 6 comma, 7 bar, 8 exclamation, 9 other mark, 10 other sign, 11 beyond ASCII.
 CLASSES = 12
 WIDTH = CLASSES * CLASSES + WORD_BUCKETS + SHARES
@@ -88,25 +90,30 @@ class Model:
         self.mean = x.mean(0) if len(x) else np.zeros(WIDTH, np.float32)
         centred = (x - self.mean).astype(np.float64)
         values, vectors = np.linalg.eigh(centred.T @ centred) if len(x) else (np.zeros(WIDTH), np.eye(WIDTH))
-        self.axes = vectors[:, np.argsort(-values, kind="stable")[:AXES]].astype(np.float32)
-        self.points, self.y = self.latent(x) if len(x) else np.zeros((0, AXES), np.float32), y.astype(np.float32)
+        self.axes = vectors[:, np.argsort(-values, kind="stable")[:AXES]].astype(np.float64)
+        self.points, self.y = self.latent(x) if len(x) else np.zeros((0, AXES)), y.astype(np.float64)
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) @ self.axes
+        z = (x - self.mean).astype(np.float64) @ self.axes
         return z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9)
 
     def score(self, x: np.ndarray, block: int = 256) -> np.ndarray:
+        """Blocks of one size, the last one filled up, cosines in steps of 1e-9, and ties to the earlier labelled
+        row: so a document's score does not depend on what stands beside it."""
         out = np.full(len(x), self.prior)
         k = min(NEIGHBOURS, len(self.y))
         if not k:
             return out
+        earlier = np.arange(len(self.y)) * 1e-14
         for at in range(0, len(x), block):
-            own = x[at : at + block]
-            cos = self.latent(own) @ self.points.T
-            near = np.argpartition(cos, len(self.y) - k, axis=1)[:, len(self.y) - k :]
-            weight = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** 4 + 1e-6
+            own = np.zeros((block, WIDTH), x.dtype)
+            n = len(x[at : at + block])
+            own[:n] = x[at : at + block]
+            cos = np.round(self.latent(own) @ self.points.T, 9) - earlier
+            near = np.sort(np.argpartition(cos, len(self.y) - k, axis=1)[:, len(self.y) - k :], axis=1)
+            weight = np.maximum(np.round(np.take_along_axis(cos, near, 1), 9), 0) ** 4 + 1e-6
             votes = (weight * self.y[near]).sum(1) + self.prior * 0.5
-            out[at : at + block] = np.where(own.any(1), votes / (weight.sum(1) + 0.5), self.prior)
+            out[at : at + n] = np.where(own.any(1), votes / (weight.sum(1) + 0.5), self.prior)[:n]
         return out
 
 
@@ -130,28 +137,33 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return Model(x, np.array([r.y for r in got], np.int64))
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: bool = False) -> DataFrame:
-    """doc_id and score per row; with keep, all columns of docs in place of the id."""
+def _scored(docs: DataFrame, model: Model, text: str, head: list[str]) -> DataFrame:
+    """The columns head as c0, c1, ... and score: stand-in names keep clear of the input's."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    head = list(docs.columns) if keep else [key]
-    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(head)], F.col(text).cast("binary").alias("_text"))
+    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(head)], F.col(text).cast("binary").alias("text"))
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in source.schema[:-1]], "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in batches:
             texts = b.column(len(head))
-            x = np.stack([features(t.as_py() or b"") for t in texts]) if len(texts) else np.zeros((0, WIDTH), np.float32)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(head)], pa.array(shared.value.score(x))], names=[*b.schema.names[: len(head)], "score"])
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = texts.slice(at, ROWS_AT_ONCE)
+                x = np.stack([features(t.as_py() or b"") for t in part])
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, ROWS_AT_ONCE) for c in b.columns[: len(head)]], pa.array(shared.value.score(x))], names=[*b.schema.names[: len(head)], "score"])
 
-    out = source.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(head)], F.col("score").alias("_score" if keep else "score"))
+    return source.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that pass, with their columns as they came."""
-    out = classify(docs, fit(docs, labels), keep=True)
-    return out.where(F.col("_score") >= threshold).select(*docs.columns)
+def classify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id and score per row."""
+    return _scored(docs, model, text, [key]).withColumnRenamed("c0", key)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The documents that pass, with their columns as they came, whatever their names."""
+    out = _scored(docs, fit(docs, labels), text, docs.columns)
+    return out.where(F.col("score") >= threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op4_neighbour_quality(spark, sf_dir: str) -> DataFrame:

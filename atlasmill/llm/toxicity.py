@@ -1,19 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A first transducer turns tokens into symbols: insult, threat, target, negation, reported speech,
-quotation, clause end, other. Small transducers for each phenomenon run side by side over the
-symbols, and their composition is one automaton whose state holds the clause so far; at a clause's
-end it emits the clause's kind: aimed or bare insult, threat, denied, reported. A document's
-score is a logistic function of its clause kinds, with weights fitted on a bounded labelled sample.
-Stems of insults that the word lists lack are taken from that sample too.
-
-Nulls: a null or empty text has no clauses and gets the lowest score. Very long texts are read
-whole. Empty tables give empty results; without labels the default weights hold. Repeated rows
-score alike; columns other than id and text are ignored.
+Words become symbols: insult, threat, target, negation, reported speech, futurity, learned stem, clause end,
+other. Five small transducers rewrite the symbols one after another: negation turns what it reaches into
+a denial; a threat needs futurity before it and a target behind it; a target near an insult aims
+it; reported speech marks its clause; the last one reads the clause and, at its end, puts out its kind. Their
+composition is one automaton, which reads a document once. Each kind of clause has a weight, fitted on a
+bounded labelled sample; a document's score is a logistic function of the weights of its clauses. Insults that
+the word lists lack are learned from that sample as word beginnings.
+
+Nulls: a null or empty text has no clauses and gets the lowest score. Very long texts are read whole. Empty tables
+give empty results; without labels the default weights hold. Repeated rows and equal texts score
+alike; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from atlasmill.llm.common import fold, stash, unstash
 from atlasmill.llm.fitting import labelled_sample
+from atlasmill.llm.transducers import Transducer, compose
 
 #: The bound of the labelled sample.
 SAMPLE = 8192
@@ -39,7 +42,9 @@ DENIALS = "not no never neither nor cannot hardly without isn't aren't wasn't we
 REPORTS = "said says say called calls quoted quotes wrote writes reported reports alleged allegedly claimed claims according mentioned told".split()
 FUTURE = "will gonna shall going must should i'll we'll".split()
 
-OTHER, INSULT, THREAT, TARGET, DENIAL, REPORT, FUTURITY, END, STEM = range(9)
+#: The symbols of words, and those that the transducers put in their place.
+OTHER, INSULT, THREAT, TARGET, DENIAL, REPORT, FUTURITY, END, STEM, DENIED, MENACE, AIMED, AIM = range(13)
+SYMBOL_COUNT = 13
 SYMBOLS = {w: s for s, ws in ((FUTURITY, FUTURE), (REPORT, REPORTS), (DENIAL, DENIALS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)) for w in ws}
 for _w in INSULTS:
     SYMBOLS.setdefault(f"{_w}s", INSULT)
@@ -52,73 +57,103 @@ DEFAULT = np.array([3.2, 2.6, 3.0, -0.4, -0.2, 1.0, -2.0])
 #: Stems that the word lists lack, mostly of other languages, are taken from the sample: beginnings
 #: of words of these lengths, in so many toxic documents at least, so much more often than in
 #: others, and so far from chance.
-STEM_LENGTHS, STEM_SUPPORT, STEM_LIFT, STEM_Z, STEMS = (4, 5, 6, 7), 5, 5.0, 6.0, 64
+STEM_LENGTHS, STEM_SUPPORT, STEM_LIFT, STEM_Z = (4, 5, 6, 7), 5, 5.0, 6.0
 
 
-def _denial(state: int, symbol: int) -> int:
-    """Tokens for which a denial still reaches."""
-    return REACH if symbol == DENIAL else max(0, state - 1)
+def _negation(reach: int, x: int) -> tuple[int, int]:
+    """An insult, stem or threat that a denial reaches is denied."""
+    if x == END:
+        return x, 0
+    if x in (INSULT, STEM, THREAT) and reach:
+        return DENIED, reach - 1
+    return x, REACH if x == DENIAL else max(0, reach - 1)
 
 
-def _target(state: int, symbol: int) -> int:
-    return REACH + 2 if symbol == TARGET else max(0, state - 1)
+def _threat(state: tuple[int, int], x: int) -> tuple[int, tuple[int, int]]:
+    """Futurity, then a threat, then a target, each near the one before: the target becomes a menace."""
+    future, waiting = state
+    if x == END:
+        return x, (0, 0)
+    out = x
+    if x == THREAT:
+        out, waiting = OTHER, 4 if future else 0
+    elif x == TARGET and waiting:
+        out = MENACE
+    return out, (REACH if x == FUTURITY else max(0, future - 1), max(0, waiting - 1))
 
 
-def _report(state: int, symbol: int) -> int:
-    return 1 if symbol == REPORT else state
+def _aim(state: tuple[int, int], x: int) -> tuple[int, tuple[int, int]]:
+    """An insult near a target is aimed; a target that follows one aims it."""
+    target, insulted = state
+    if x == END:
+        return x, (0, 0)
+    out = x
+    if x == INSULT:
+        out, insulted = AIMED if target else INSULT, 1
+    elif x == TARGET and insulted and not target:
+        out = AIM
+    return out, (REACH + 2 if x in (TARGET, MENACE) else max(0, target - 1), insulted)
 
 
-def _future(state: int, symbol: int) -> int:
-    return REACH if symbol == FUTURITY else max(0, state - 1)
+def _reported(told: int, x: int) -> tuple[int, int]:
+    """Of the reports of a clause the first alone stays."""
+    if x == END:
+        return x, 0
+    return (OTHER, 1) if x == REPORT and told else (x, told or int(x == REPORT))
 
 
-def clause_kinds(text: str, stems: frozenset[str] = frozenset()) -> np.ndarray:
-    """How many clauses of each kind the text holds."""
-    out = np.zeros(len(KINDS))
-    denial = target = report = future = 0
-    insult = aimed = threat = denied = waiting = stem = 0
-
-    def end() -> None:
-        hits = insult + threat
-        if report and hits:
-            out[4] += 1
-        elif hits:
-            out[0] += bool(aimed)
-            out[1] += bool(insult) and not aimed
-            out[2] += bool(threat)
-        if denied:
-            out[3] += 1
-        if stem and not report:
-            out[5] += 1
+NONE, STEMMED, BARE, DIRECT, MENACING = range(5)
+_STRENGTH = {STEM: STEMMED, INSULT: BARE, AIMED: DIRECT, AIM: DIRECT, MENACE: MENACING}
+
+
+def _clause(state: tuple[int, int, int], x: int) -> tuple[int, tuple[int, int, int]]:
+    """Puts out 0 inside a clause; at its end 1 + its kind, or 0 for a clause without one."""
+    hit, denied, told = state
+    if x == END:
+        if told and hit > STEMMED:
+            return 1 + KINDS.index("reported"), (0, 0, 0)
+        if hit and not told:
+            return 1 + KINDS.index({STEMMED: "stem", BARE: "bare insult", DIRECT: "aimed insult", MENACING: "threat"}[hit]), (0, 0, 0)
+        return 1 + KINDS.index("denied") if denied and not hit else 0, (0, 0, 0)
+    return 0, (max(hit, _STRENGTH.get(x, NONE)), denied or int(x == DENIED), told or int(x == REPORT))
+
+
+def parts() -> list[Transducer]:
+    """The transducers in the order in which they read each other's symbols."""
+    rules = ((0, _negation), ((0, 0), _threat), ((0, 0), _aim), (0, _reported), ((0, 0, 0), _clause))
+    return [Transducer.from_rule(start, SYMBOL_COUNT, rule) for start, rule in rules]
+
 
+@functools.cache
+def grammar() -> Transducer:
+    return compose(*parts())
+
+
+def symbols_of(text: str, stems: frozenset[str] = frozenset()) -> list[int]:
+    """The symbol of each word and mark; the text's end ends a clause."""
+    out = []
     for word in TOKEN.findall(text.lower()):
-        symbol = END if word[0] in ".!?;\n" else SYMBOLS.get(word.replace("’", "'"), OTHER)
-        if symbol == END:
-            end()
-            denial = target = report = future = 0
-            insult = aimed = threat = denied = waiting = stem = 0
+        if word[0] in ".!?;\n":
+            out.append(END)
             continue
+        symbol = SYMBOLS.get(word.replace("’", "'"), OTHER)
         if symbol == OTHER and stems and any(word[:n] in stems for n in STEM_LENGTHS):
             symbol = STEM
-        if symbol == INSULT:
-            if denial:
-                denied += 1
-            else:
-                insult += 1
-                aimed += target > 0
-        elif symbol == STEM:
-            stem += not denial
-        elif symbol == THREAT:
-            waiting = 4 if future and not denial else 0
-        elif symbol == TARGET:
-            threat += waiting > 0  # "will hurt you"
-            aimed += insult > 0 and target == 0
-        waiting = max(0, waiting - 1)
-        denial, target, report, future = _denial(denial, symbol), _target(target, symbol), _report(report, symbol), _future(future, symbol)
-    end()
+        out.append(symbol)
+    out.append(END)
     return out
 
 
+def clause_kinds(text: str, stems: frozenset[str] = frozenset()) -> np.ndarray:
+    """How many clauses of each kind the text holds."""
+    arcs, state = grammar().arcs, 0
+    out = [0] * (len(KINDS) + 1)
+    for symbol in symbols_of(text, stems):
+        kind, state = arcs[state][symbol]
+        out[kind] += kind > 0
+    return np.array(out[1:], float)
+
+
 def measure(kinds: np.ndarray) -> np.ndarray:
     """Counts level off: the second clause of a kind says less than the first."""
     return np.log2(1 + kinds)
@@ -138,7 +173,7 @@ def _kinds(texts: pa.Array, stems: frozenset[str]) -> np.ndarray:
 
 
 def find_stems(sample: DataFrame) -> frozenset[str]:
-    """Beginnings of words that set the sample's toxic documents apart; at most STEMS come to the driver."""
+    """Beginnings of words that set the sample's toxic documents apart; the sample's bound bounds their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[Counter] = [Counter(), Counter()]
@@ -158,10 +193,10 @@ def find_stems(sample: DataFrame) -> frozenset[str]:
     z = (a - b) / F.sqrt(p * (1 - p) * (1 / sizes[0] + 1 / sizes[1]))
     rows = found.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     rows = rows.where((F.col("a") >= STEM_SUPPORT) & (a >= STEM_LIFT * b) & (p < 1)).withColumn("z", z).where(F.col("z") >= STEM_Z)
-    best = rows.orderBy(F.desc("z"), F.desc(F.length("stem")), "stem").limit(4 * STEMS).collect()
+    best = rows.orderBy(F.desc("z"), F.desc(F.length("stem")), "stem").collect()
     kept: list[str] = []
     for r in best:
-        if len(kept) < STEMS and not any(r.stem.startswith(k) or k.startswith(r.stem) for k in kept):
+        if not any(r.stem.startswith(k) or k.startswith(r.stem) for k in kept):
             kept.append(r.stem)
     return frozenset(kept)
 
