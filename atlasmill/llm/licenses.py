@@ -1,18 +1,18 @@
 r"""License scans: phrase places, and an exact set-similarity join of text blocks with notices.
 
-A block is a line, or a window of words that ignores line ends, so that a wrapped notice is found: as
-many words as the notice has, and a quarter more for what stands between its lines. Windows are tried
-inside pieces of twice the longest window, each begun one such length after the last, so that every
-window lies in a piece. A block's set is its words. A notice's words are ordered by their count in the
-whole corpus, rarest first. A block that contains CONTAINMENT of a notice's words must hold one of its
-first n - needed + 1 (prefix filter); it must have enough words (length filter), and enough known
-words from the first shared one on (positional filter). A piece must pass what its windows must. What
-is left is counted exactly, window by window.
+A block is a window of words that ignores line ends, so that a wrapped notice is found: as many words
+as the notice has, and a quarter more for what stands between its lines; words scattered over a longer stretch are
+no block. Windows are tried inside pieces of twice the longest window, each begun one such length after the
+last, so that every window lies in a piece. A block's set is its words. A notice's words are ordered by
+their count in the whole corpus, rarest first. A block that contains CONTAINMENT of a notice's words must hold
+one of its first n - needed + 1 (prefix filter); it must have enough words (length filter); and the first
+shared word alone speaks for a pair, with enough known words from it on (positional filter). A piece must pass
+what its windows must. What is left is counted exactly, window by window.
 DataFrame operations only.
 
-Nulls: a null text is empty; rows with a null id get no labels of the join. Repeated ids share
-the join's labels. Very long texts are read whole. Empty tables give empty results; columns other
-than id and text are ignored.
+Nulls: a null text is empty; rows with a null id get no labels of the join. Repeated ids share the join's labels.
+Of equally good windows any one counts: only label and containment come out. Very long texts are read whole. Empty
+tables give empty results; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -101,28 +101,26 @@ def notice_join(docs: DataFrame, text: str = "text", key: str = "doc_id", notice
     counted = texts.select(F.explode(words_of(F.col("_text"))).alias("word")).join(F.broadcast(known), "word").groupBy("word").count()
     count = {r.word: r["count"] for r in counted.collect()}  # at most the notices' own words
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
-    rare: dict[str, list[tuple[int, int]]] = {}
+    rare: dict[str, list[tuple[int, str]]] = {}
     for n, (s, _, _) in enumerate(sets):
-        for i, w in enumerate(sorted(s, key=order.get)[: len(s) - needed(len(s), containment) + 1]):
-            rare.setdefault(w, []).append((n, i))
+        first = sorted(s, key=order.get)[: len(s) - needed(len(s), containment) + 1]
+        for i, w in enumerate(first):
+            rare.setdefault(w, []).append((n, " ".join(first[:i])))
     text_list = lambda ws: F.split(F.lit(" ".join(ws)), " ")
-    prefix = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', {n}, {needed(len(sets[n][0]), containment)}, {len(sets[n][0])}, {sets[n][2]}, '{' '.join(sets[n][0])}', '{sets[n][1]}')" for w, at in sorted(rare.items()) for n, _ in at) + " AS t(_word, _notice, _needed, _size, _window, _set, label)")
-    some = texts.withColumn("_all", words_of(F.col("_text"))).where(F.arrays_overlap("_all", text_list(sorted(rare))))
-    lines = F.transform(F.split("_text", "\n"), lambda b: F.struct(words_of(b).alias("block"), F.lit(True).alias("line")))
+    prefix = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', '{before}', {needed(len(sets[n][0]), containment)}, {len(sets[n][0])}, {sets[n][2]}, '{' '.join(sets[n][0])}', '{sets[n][1]}')" for w, at in sorted(rare.items()) for n, before in at) + " AS t(_word, _before, _needed, _size, _window, _set, label)")
+    some = texts.withColumn("_all", words_of(F.col("_text"))).where(F.arrays_overlap("_all", text_list(sorted(rare)))).drop("_text")
     starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("_all") - 1, F.lit(0)) / longest).cast("int"))
-    pieces = F.transform(starts, lambda k: F.struct(F.slice("_all", k * longest + 1, 2 * longest).alias("block"), F.lit(False).alias("line")))
-    # Without a line end the one line holds every window.
-    blocks = some.select("doc_id", F.explode(F.when(F.contains("_text", F.lit("\n")), F.concat(lines, pieces)).otherwise(lines)).alias("_b")).select("doc_id", "_b.block", "_b.line")
+    pieces = F.transform(starts, lambda k: F.slice("_all", k * longest + 1, 2 * longest))
+    blocks = some.select("doc_id", F.explode(pieces).alias("block"))
     some = blocks.withColumn("words", F.array_distinct("block")).where(F.arrays_overlap("words", text_list(sorted(rare))))
     ranks = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)])
-    some = some.select("doc_id", "block", "line", "words", F.array_sort(F.transform(F.array_intersect("words", text_list(vocabulary)), lambda w: F.element_at(ranks, w))).alias("_ranks"))
+    some = some.select("doc_id", "block", "words", F.array_sort(F.transform(F.array_intersect("words", text_list(vocabulary)), lambda w: F.element_at(ranks, w))).alias("_ranks"))
     pairs = some.select("*", F.explode(F.array_intersect("words", text_list(sorted(rare)))).alias("_word")).join(F.broadcast(prefix), "_word")
     at = F.array_position("_ranks", F.element_at(ranks, F.col("_word")))
-    pairs = pairs.where((F.size("words") >= F.col("_needed")) & (F.size("_ranks") - at + 1 >= F.col("_needed")))
+    pairs = pairs.where((F.size("words") >= F.col("_needed")) & (F.size("_ranks") - at + 1 >= F.col("_needed")) & ~F.arrays_overlap("words", F.split("_before", " ")))
     shared = lambda ws: F.size(F.array_intersect(F.split("_set", " "), ws))
     windows = F.transform(F.sequence(F.lit(1), F.size("block")), lambda i: shared(F.slice("block", i, F.col("_window"))))
-    pairs = pairs.withColumn("_shared", shared(F.col("words"))).where(F.col("_shared") >= F.col("_needed"))
-    pairs = pairs.withColumn("_shared", F.when(F.col("line"), F.col("_shared")).otherwise(F.array_max(windows)))
+    pairs = pairs.where(shared(F.col("words")) >= F.col("_needed")).withColumn("_shared", F.array_max(windows))
     return pairs.where(F.col("_shared") >= F.col("_needed")).select("doc_id", "label", (F.col("_shared") / F.col("_size")).alias("containment"))
 
 
@@ -151,16 +149,17 @@ def _oracle() -> str:
         return f"SELECT r, '{label}' AS label, i - 1 AS start FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs WHERE list_contains(w, '{ws[0]}')) WHERE {test}"
 
     places = " UNION ALL ".join(place(p, x) for p, x in PHRASES)
-    notices = ", ".join(f"({sorted(set(p.split()))}, '{x}', {needed(len(set(p.split())))})" for p, x in NOTICES)
+    notices = ", ".join(f"({sorted(set(p.split()))}, '{x}', {needed(len(set(p.split())))}, {window_size(p)})" for p, x in NOTICES)
     low = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     return rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(coalesce({low}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 places AS ({places}),
 base AS (SELECT r, count(*) AS n, min(start) AS a, max(start) AS b, list_sort(list(DISTINCT label)) AS own FROM places GROUP BY r),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(b, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM (SELECT doc_id, unnest(string_split({low}, chr(10))) AS b FROM documents WHERE doc_id IS NOT NULL)),
-notices(s, label, needed) AS (VALUES {notices}),
-found AS (SELECT doc_id, label, len(list_intersect(s, ws)) AS k, len(s) AS m FROM blocks, notices WHERE len(ws) >= needed AND len(list_intersect(s, ws)) >= needed),
+notices(s, label, needed, size) AS (VALUES {notices}),
+likely AS (SELECT doc_id, w, s, label, needed, size FROM docs, notices WHERE doc_id IS NOT NULL AND len(list_intersect(s, list_distinct(w))) >= needed),
+tried AS (SELECT doc_id, label, s, needed, list_distinct(w[i:i + size - 1]) AS ws FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM likely)),
+found AS (SELECT doc_id, label, len(list_intersect(s, ws)) AS k, len(s) AS m FROM tried WHERE len(ws) >= needed AND len(list_intersect(s, ws)) >= needed),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(k::DOUBLE / m) AS best FROM found GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
   coalesce(array_to_string(own, ','), '') AS base_labels,

@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -52,18 +53,33 @@ AGAINST = r"(?i)(?:version|order|invoice|isbn|issn|page|ref|build|item|part|seri
 FEATURES = ("kind", "length", "digits", "letters", "separators", "cue", "against", "mixed", "distinct", "hex")
 
 
+#: Matches whose lengths are added up together.
+RUN = 64
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row and not again in every lambda that names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """All matches, left to right, as (kind, start, end, value): their starts add up the lengths of gaps and matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """All matches, left to right, as (kind, start, end, value).
+
+    A start is the sum of the gaps and matches before it: whole runs of RUN first, then what is left, so a text
+    with m matches costs m * (m / RUN + RUN) additions.
+    """
+    add = lambda a, b: a + b
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    sizes = F.transform(found, lambda m: F.length(m))
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"))
+    steps = lambda f: F.struct(f["m"].alias("m"), f["g"].alias("g"), F.zip_with(f["g"], f["m"], lambda g, m: g + F.coalesce(F.length(m), F.lit(0))).alias("s"))
+    runs = lambda f: F.struct(f["m"].alias("m"), f["g"].alias("g"), f["s"].alias("s"), F.transform(F.sequence(F.lit(0), F.floor(F.size(f["s"]) / RUN).cast("int")), lambda j: F.aggregate(F.slice(f["s"], j * RUN + 1, RUN), F.lit(0), add)).alias("r"))
 
-    def at(m: Column, i: Column) -> Column:
-        add = lambda a, b: a + b
-        start = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), add) + F.aggregate(F.slice(sizes, 1, i), F.lit(0), add)
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
+    def at(f: Column, m: Column, i: Column) -> Column:
+        run = F.floor(i / RUN).cast("int")
+        start = F.aggregate(F.slice(f["r"], 1, run), F.get(f["g"], i), add) + F.aggregate(F.slice(f["s"], run * RUN + 1, i - run * RUN), F.lit(0), add)
+        return _once(start, lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("start"), (a + F.length(m)).alias("end"), m.alias("value")))
 
-    return F.transform(found, at)
+    return _once(found, lambda f: _once(steps(f), lambda g: _once(runs(g), lambda h: F.transform(h["m"], lambda m, i: at(h, m, i)))))
 
 
 NO_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -170,9 +186,11 @@ def model() -> tuple[list, dict[str, float]]:
 def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The kept columns (all by default), _text, and arrays of spans: _email, _ip, _card, _phone, _more.
 
-    Spans are (kind, start, end, value); those in _more are the judged candidates.
+    Spans are (kind, start, end, value); those in _more are the judged candidates. Columns of docs with the names
+    of added ones give way to them.
     """
-    names = list(docs.columns if keep is None else keep)
+    added = {"_text", "_candidates", "_measured", "_scored", "_more", *(f"_{k}" for k in BASE)}
+    names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     t = F.col("_text")
     rows = docs.select(*names, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     base = _base(t)
@@ -239,4 +257,4 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
 def op8_boosted_pii(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=("doc_id",))
     base = F.concat(*[F.col(f"_{k}") for k in BASE])
-    return found.select("doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.concat(base, F.col("_more"))).alias("spans"))
+    return found.select("doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.concat(base, F.col("_more"))).alias("spans"), F.size(F.concat(base, F.col("_more"))).cast("long").alias("n_spans"))

@@ -75,6 +75,23 @@ def test_op8_columns(spark, sf):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert Counter(k for k, _, _ in want) == Counter({k: r[f"n_{k}"] for k in pii.BASE if r[f"n_{k}"]})
         assert set(f"{k}:{a}:{b}" for k, a, b in want) <= set(r.spans.split(",")) | {""}
+        assert r.n_spans == len([x for x in r.spans.split(",") if x])
+
+
+def test_clashing_names(spark, docs):
+    """Columns with the names of added ones give way in find and stay in redacted."""
+    odd = docs.select("doc_id", "text", F.lit("x").alias("_email"), F.lit("y").alias("_scored"), F.lit("z").alias("_more"))
+    rows = pii.find(odd).collect()
+    assert len(rows) == odd.count() and all(not isinstance(r._email, str) for r in rows)
+    assert {(r._email, r._scored, r._more) for r in pii.redacted(odd).collect()} == {("x", "y", "z")}
+
+
+def test_many_matches(spark):
+    """Places are right across runs of matches, and many matches in one text take no square of time."""
+    text = " é ".join(f"a{i}@b.c" for i in range(3000))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(s.start, s.end) for s in pii.find(d, keep=("doc_id",)).first()._email]
+    assert got == [(m.start(), m.end()) for m in re.finditer(r"a[0-9]+@b\.c", text)]
 
 
 def test_redaction(spark, docs):
@@ -141,12 +158,12 @@ def test_license_scan_by_hand(spark):
 
 
 def held(text):
-    """(label, containment) of every notice that a line, or a window of the words of the text, holds."""
+    """(label, containment) of every notice that a window of the words of the text holds."""
     words = lambda t: re.findall("[a-z0-9]+", t.lower())
     out = {}
     for notice, label in licenses.NOTICES:
         s, size, ws = set(notice.split()), licenses.window_size(notice), words(text)
-        best = max(len(s & set(b)) for b in [words(b) for b in text.split("\n")] + [ws[i : i + size] for i in range(len(ws) or 1)])
+        best = max(len(s & set(b)) for b in [ws[i : i + size] for i in range(len(ws) or 1)])
         if best >= licenses.needed(len(s)):
             out[label] = max(out.get(label, 0), best / len(s))
     return out
@@ -169,6 +186,13 @@ def test_wrapped_notices(spark):
         labels += [None] * 3
     texts += ["unencumbered\n" * 20000, "\n", "\n\nreleased under\nthe MIT\n\nlicense", "\r\n".join(textwrap.wrap(licenses.NOTICES[11][0], 40))]
     labels += [None, None, "mit", "bsd"]
+    # The few words of a notice scattered over one very long line are no notice; standing together in it they are.
+    scattered = (["filler"] * 200).copy()
+    for at, w in zip((3, 50, 90, 130, 180), "released under the mit license".split()):
+        scattered[at] = w
+    texts += [" ".join(scattered), " ".join(["filler"] * 500 + "released under the mit license".split() + ["filler"] * 500)]
+    labels += [None, "mit"]
+    assert held(texts[-2]) == {}
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(d).collect()}
     for i, (text, label) in enumerate(zip(texts, labels)):
