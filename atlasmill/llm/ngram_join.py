@@ -7,17 +7,18 @@ D + 1 groups one is equal (pigeonhole). Sizes fall into bands that overlap by th
 linkable pair shares one; in a band each set publishes its first D + 1 groups and some to spare.
 
 Equal sets are one node from the start. Buckets of equal groups with few members give all their
-pairs, and a pair is verified only if enough of its groups agree for the distance bound. A set
-whose large buckets are more than it can spare might link through large ones alone, and only with
-another such set: these are bucketed again among themselves. Where that no longer thins them, members
-are compared with a few leaders, and then with every member that is not yet of their component
-and shares enough groups. So no link between components is lost, and a hot passage or a huge
-group of near copies does not make all its pairs.
+pairs, and a pair is verified only if enough of its groups agree for the distance bound. A set with more
+large buckets than it can spare is crowded: it might link through large buckets alone, and only with
+another crowded set. These are joined among themselves by their members, rarest first, with prefix, size and
+position filters: of a crowd of near copies only sets with few members of their own still meet. There each is
+verified against the one with the fewest, and only who is then not of a bucket's main component meets the
+others in it. So no link between components is lost, and neither a hot passage nor a huge group of near
+copies makes all its pairs.
 
 Members are 64-bit hashes of n-grams of 64-bit word hashes. Rows of one id are one document. A null
 text or one without words has the empty set and no links; a null id has no component. Fewer words
 than n make one n-gram. Very long texts are read whole; an empty table gives an empty result;
-columns other than id and text are ignored.
+columns other than id and text are ignored by classes and kept by deduplicated, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from atlasmill.llm.common import let_go, stash, unstash
 from atlasmill.llm.components import components
@@ -354,10 +356,24 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "tex
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One document of each class: the one with the smallest id, once. Rows without an id stay."""
-    kept = classes(docs, text=text, key=key, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([key])
-    return named.union(docs.where(F.col(key).isNull()))
+    """One document of each class: the one with the smallest id, once. Rows without an id stay.
+
+    Of several rows with that id the one with the least text (null first) stays, and of equal texts
+    the one whose columns have the least hash.
+    """
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # stand-in names keep clear of the input's
+    own_key, own_text = f"c{names.index(key)}", f"c{names.index(text)}"
+    roots = classes(inner, text=own_text, key=own_key, **options).where("doc_id = component_id")
+    kept = stash(roots.groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    own = F.col(own_key).cast("long") == F.col("kept")
+    once = inner.join(kept.where("rows = 1"), own, "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        hashed = [f"c{i}" for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString()]
+        order = Window.partitionBy(F.col(own_key).cast("long")).orderBy(F.col(own_text).asc_nulls_first(), F.xxhash64(*hashed))
+        several = inner.join(kept.where("rows > 1"), own, "left_semi")
+        once = once.union(several.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place"))
+    return once.union(inner.where(F.col(own_key).isNull())).toDF(*names)
 
 
 def op1_parity_jaccard(spark, sf_dir: str) -> DataFrame:
