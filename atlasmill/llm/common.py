@@ -2,56 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-#: A word for the operators that split on white space only.
-SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
-_local_folder: dict[str, str] = {}
+from atlasmill.functions import shared
+from atlasmill.functions.shared import ranked, shared_folder, shuffle_parts, unstash
 
+__all__ = ["SPACED_WORD", "fold", "let_go", "ranked", "shared_folder", "shuffle_parts", "stash", "unstash"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from spark.checkpoint.dir.
-
-    Only a local-mode session may lack the setting (tests); it then gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if master not in _local_folder:
-        _local_folder[master] = tempfile.mkdtemp(prefix="atlasmill-")
-    return f"file://{_local_folder[master]}"
+#: A word for the operators that split on white space only.
+SPACED_WORD = r"[^\x20\x09-\x0D]+"
+#: Rows and bytes that go to Python at once: texts may be long, and both sides hold a whole batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and rereads it: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the table stands, so its shuffle files may go
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, "true")
+    """A table of df in the shared folder, written with small batches for Python."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        conf.set(k, str(min(v, int(before[k])) if before[k] and before[k].isdigit() and int(before[k]) > 0 else v))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        return shared.stash(df, label)
     finally:
-        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def unstash(df: DataFrame) -> None:
-    """Deletes the table behind a stashed frame, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def let_go(spark: SparkSession) -> None:
@@ -62,28 +37,6 @@ def let_go(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds; null ids fall into fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds), F.lit(0).cast("long"))
-
-
-def ranked(df: DataFrame, group: str, order: list[Column], label: str, rank: str = "_rank") -> DataFrame:
-    """Adds each row's place (from 0) in its group under a total order, with no task that holds a whole group.
-
-    Rows are range-partitioned on the order, which must start with the group, and written once with
-    a row counter. Each range contributes one row per group it holds to a prefix sum, so a hot group
-    is split over as many tasks as its rows need. Null groups are one group.
-    """
-    spark = df.sparkSession
-    placed = df.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
-    table = stash(placed.withColumn("_at", F.monotonically_increasing_id()), label)
-    part = F.shiftright(F.col("_at"), 33)
-    runs = table.groupBy(part.alias("_part"), F.col(group).alias("_group")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = table.join(runs, (part == F.col("_part")) & table[group].eqNullSafe(F.col("_group")))
-    return joined.withColumn(rank, F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_group", "_first", "_n", "_before")
