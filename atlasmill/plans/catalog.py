@@ -97,16 +97,16 @@ PLANS = {
 
 
 def _bm25(spark, folder: str) -> DataFrame:
-    return retrieval.bm25_scores(table(spark, folder, "documents"), table(spark, folder, "benchmark"), "lang", "doc_id", "text", "item_id", "text")
+    return retrieval.bm25_top(table(spark, folder, "documents"), table(spark, folder, "benchmark"), "lang", "doc_id", "text", "item_id", "text", 10)
 
 
 def bm25_topk(spark, folder: str) -> DataFrame:
-    out = retrieval.top(_bm25(spark, folder), ["domain", "query"], 10)
+    out = _bm25(spark, folder)
     return out.select("domain", F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def rrf_fusion(spark, folder: str) -> DataFrame:
-    best = retrieval.top(_bm25(spark, folder), ["domain", "query"], 10).withColumnRenamed("query", "query_index")
+    best = _bm25(spark, folder).withColumnRenamed("query", "query_index")
     return retrieval.fuse(best, ["domain"]).select("domain", F.col("doc").alias("doc_id"), F.round("rrf_score", 9).alias("rrf_score"), "hits")
 
 

@@ -74,3 +74,17 @@ def test_macros_are_all_replaced():
     for d in catalog.MACROS:
         for text in catalog.PLANS.values():
             assert not re.search(r"@[A-Z]", catalog.sql_for(d, text))
+
+
+def test_best_documents_are_ranked_where_they_are(spark):
+    """As bm25_scores ranks them, ties and terms in any order included, while only a task's best are dealt out."""
+    r = np.random.default_rng(3)
+    words = ["heart", "ſtraße", "kidney", "the", "ΣΑΣ", "漢字", "x1", "injury", "is"]
+    docs = [(None if i % 50 == 49 else "ab"[i % 2], None if i % 97 == 5 else i, None if i % 41 == 0 else " ".join(r.choice(words, r.integers(0, 6)))) for i in range(400)]
+    docs = spark.createDataFrame(docs, "dom string, id int, text string").repartition(3)
+    asked = spark.createDataFrame([(j, " ".join(r.choice(words, 4))) for j in range(12)] + [(20, "unknown"), (21, None)], "qid int, q string")
+    args = (docs, asked, "dom", "id", "text", "qid", "q")
+    rows = lambda d: sorted(tuple(map(str, x)) for x in d.select("domain", "query", "doc", "score", "rank").collect())
+    best = retrieval.bm25_top(*args, 4)
+    assert rows(best) == rows(retrieval.top(retrieval.bm25_scores(*args), ["domain", "query"], 4)) and len(rows(best)) > 60
+    assert retrieval.bm25_top(docs.where("false"), *args[1:], 4).count() == 0
