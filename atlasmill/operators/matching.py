@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atlasmill.functions.shared import stash
+
 #: So many key words at most are put into the plan; with more, they are joined.
 INLINE_WORDS = 10_000
+#: Items of so many letters at most in all are sent to the documents.
+INLINE_CHARS = 8_000_000
 
 
 def contained(items: DataFrame, docs: DataFrame, item_key: str, item_text: str, doc_key: str, doc_text: str) -> DataFrame:
@@ -23,15 +27,27 @@ def contained(items: DataFrame, docs: DataFrame, item_key: str, item_text: str,
     keys = asked.select(F.explode("ws").alias("word")).distinct()
     few = [r.word for r in keys.limit(INLINE_WORDS + 1).collect()]
     inline = len(few) <= INLINE_WORDS
-    found = F.array_distinct(F.filter(words(F.col("text")), lambda w: w.isin(few)) if inline and few else words(F.col("text")) if few else F.array().cast("array<string>"))
-    each = held.select("doc", "text", F.explode(found).alias("word"))
+
+    def holding(some: list[str] | None) -> DataFrame:
+        """A row for each document and each of some of its words, or of all; outer, so that words are found once and not to see first whether there are any."""
+        found = words(F.col("text")) if some is None else F.filter(words(F.col("text")), lambda w: w.isin(some)) if some else F.array().cast("array<string>")
+        return held.select("doc", "text", F.explode_outer(F.array_distinct(found)).alias("word")).where("word is not null")
+
+    each = holding(few if inline else None)
     if not inline:
         each = each.join(keys, "word", "left_semi")
     often = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     options = asked.select("item", "t", F.explode("ws").alias("word")).join(often, "word")  # a word that no document holds rules its item out
     all_held = options.groupBy("item", "t").agg(F.min(F.struct("n", "word"))["word"].alias("word"), F.count(F.lit(1)).alias("present"))
     whole = all_held.join(asked.select("item", "t", F.size("ws").alias("size")), ["item", "t"]).where("present = size").select("item", "t", "word")
-    pairs = whole.join(each, "word").where(F.contains("text", "t")).select("item", "doc")
+    sized = stash(whole, "contained")
+    n, chars = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    if inline and n <= INLINE_WORDS and chars <= INLINE_CHARS:  # the few items go to the documents, whose texts stay where they are
+        rarest = [r.word for r in sized.select("word").distinct().collect()]
+        pairs = holding(rarest).join(F.broadcast(sized), "word")
+    else:
+        pairs = sized.join(each, "word")
+    pairs = pairs.where(F.contains("text", "t")).select("item", "doc")
     short = asked.where(F.size("ws") == 0).select("item", "t")
     if short.isEmpty():
         return pairs
