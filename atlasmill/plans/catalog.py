@@ -198,7 +198,7 @@ def cosine_topk(spark, folder: str) -> DataFrame:
 def cosine_topk_all(spark, folder: str) -> DataFrame:
     """The neighbours of every row; cosine_topk asks for those of one row a label."""
     vectors = table(spark, folder, "embeddings")
-    out = retrieval.cosine_top(vectors, vectors, "label", "vec_id", "embedding", 10, chunks=8)
+    out = retrieval.cosine_top_all(vectors, "label", "vec_id", "embedding", 10)
     return out.select(F.col("domain").alias("label"), F.col("query").alias("query_id"), F.col("doc").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 

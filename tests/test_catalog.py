@@ -88,3 +88,24 @@ def test_best_documents_are_ranked_where_they_are(spark):
     best = retrieval.bm25_top(*args, 4)
     assert rows(best) == rows(retrieval.top(retrieval.bm25_scores(*args), ["domain", "query"], 4)) and len(rows(best)) > 60
     assert retrieval.bm25_top(docs.where("false"), *args[1:], 4).count() == 0
+
+
+def test_all_against_all_in_blocks(spark, tmp_path, monkeypatch, duck):
+    """Copies, zero and missing vectors and repeated ids over several blocks, as the SQL has them; no row meets another alone."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 40)
+    r = np.random.default_rng(5)
+    rows = [(i if i % 60 else 7, None if i % 83 == 4 else [0.0] * 3 if i % 71 == 2 else ([1.0, 2.0, 3.0] if i % 3 else r.normal(size=3).tolist()), None if i % 90 == 1 else [1, 1, 2][i % 3]) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    out = catalog.cosine_topk_all(spark, str(tmp_path))
+    want, got = con.sql(catalog.oracle_sql()["cosine_topk_all"]).df(), out.toPandas()
+    rows = lambda d: sorted(tuple(map(plain, r)) for r in d[sorted(want.columns)].itertuples(index=False))
+    assert rows(got) == rows(want) and len(got) > 3000
+    assert "Join" not in re.sub("Join.{0,40}domain", "", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_texts_stay_where_they_are(spark, sf):
+    """The documents' texts take part in no exchange: only words and their counts are dealt out."""
+    plan = catalog.evidence_contains(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
