@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from atlasmill.llm.common import SPACED_WORD, ranked
+from atlasmill.llm.common import SPACED_WORD, ranked, small, stash
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -59,7 +59,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     cols = list(dict.fromkeys([key, source, *keep]))
     sized = docs.select(*[c for c in cols if c != "size"], word_count(F.col(text)).alias("size"))
     placed = ranked(sized, source, [F.col(source).asc_nulls_last(), F.col("size").asc(), F.col(key).asc_nulls_first()], "mix")
-    targets = source_targets(placed.select(source, "size"), source, "size", weights, most)
+    # The rows may carry texts: the targets come to them.
+    targets = small(stash(source_targets(placed.select(source, "size"), source, "size", weights, most), "targets"))
     out = placed.join(targets, placed[source].eqNullSafe(targets["_src"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = offset(F.col(source), seed)

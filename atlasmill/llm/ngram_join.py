@@ -41,6 +41,8 @@ from atlasmill.llm.components import components
 SMALL = 8
 #: The ratio of neighbouring classes of sizes.
 SLOT = 1.04
+#: So many ids of rows that do not stay are sent to all tasks at most; with more, the rows are joined with them.
+IDS_SENT = 2_000_000
 REMEMBERED = 500_000
 TAG_BITS = 6
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -364,10 +366,15 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # stand-in names keep clear of the input's
     own_key, own_text = f"c{names.index(key)}", f"c{names.index(text)}"
-    roots = classes(inner, text=own_text, key=own_key, **options).where("doc_id = component_id")
-    kept = stash(roots.groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    found = classes(inner, text=own_text, key=own_key, **options).where("doc_id is not null")
+    kept = stash(found.groupBy(F.col("doc_id").alias("kept")).agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("rows")), "kept")
+    let_go(docs.sparkSession)
     own = F.col(own_key).cast("long") == F.col("kept")
-    once = inner.join(kept.where("rows = 1"), own, "left_semi")
+    other = kept.where("rows != 1").select("kept")
+    if other.count() <= IDS_SENT:  # these ids come to the rows, whose texts stay where they are
+        once = inner.where(F.col(own_key).isNotNull()).join(F.broadcast(other), own, "left_anti")
+    else:
+        once = inner.join(kept.where("rows = 1"), own, "left_semi")
     if not kept.where("rows > 1").isEmpty():
         hashed = [f"c{i}" for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString()]
         order = Window.partitionBy(F.col(own_key).cast("long")).orderBy(F.col(own_text).asc_nulls_first(), F.xxhash64(*hashed))

@@ -141,3 +141,17 @@ def test_clashing_columns(spark, folder):
         rows = docs.collect()
         assert rows and all(r[c] == c for r in rows for c in docs.columns[5:]), name
     assert np.all([r.length > 0 for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()])
+
+
+def test_texts_are_dealt_out_once(spark, folder):
+    """Mixing ranks the rows, which takes one exchange of them; near duplicates leave them where they are. Small tables come to them whatever the session's limit."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage in (corpus_pipeline.mixing_stage, corpus_pipeline.near_duplicate_stage):
+            plan = stage(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set(limit, before)
