@@ -40,6 +40,15 @@ POWERS = np.array([pow(int(BASE), i, 2**64) for i in range(LENGTH + 1)], np.uint
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _sliding(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
+    """The best of each `span` neighbours."""
+    width = 1
+    while width < span:
+        step = min(width, span - width)
+        x, width = best(x[:-step], x[step:]), width + step
+    return x
+
+
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, last window, place in the first window) of each run of windows with one anchor."""
     n = len(text)
@@ -52,6 +61,14 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     h = eight[:-8] * M1 + (eight[8:] ^ (eight[8:] >> np.uint64(29))) * M2
     h = (h ^ (h >> np.uint64(32))) * M2
     h ^= h >> np.uint64(29)
+    least = _sliding(h, SPAN, np.minimum)
+    # A gram is the anchor of some window if the largest of the minima of the windows that hold it is its own hash.
+    pad = np.zeros(SPAN - 1, np.uint64)
+    place = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), SPAN, np.maximum) == h)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    if len(first) == len(place):  # one gram a run
+        return h[place].view(np.int64), first, np.concatenate([first[1:] - 1, [len(least) - 1]]), place - first
+    # The least hash stands more than once in a window: the leftmost counts.
     at, width = np.arange(len(h)), 1
     while width < SPAN:
         step = min(width, SPAN - width)

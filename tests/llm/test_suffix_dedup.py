@@ -72,3 +72,18 @@ def test_suffix_order_is_sorted():
     assert sorted(order.tolist()) == list(range(len(start)))
     seen = [(int(filed[i]), data[start[i] : start[i] + 50].tobytes()) for i in order]
     assert seen == sorted(seen)
+
+
+def test_anchors_are_the_leftmost_least_grams(monkeypatch):
+    """Runs of windows with one anchor, found by sliding minima; texts whose grams repeat go the longer way. Both say the same."""
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(n)).encode() for n in (49, 50, 51, 84, 85, 200, 3000)]
+    texts += [b"a" * 300, b"xy" * 90 + texts[5], texts[4] * 3, (texts[5][:20] + b"\n") * 9]
+    calls = []
+    where = np.where
+    monkeypatch.setattr(sd.np, "where", lambda *a: calls.append(1) or where(*a))
+    fast = [[x.tolist() for x in sd.anchors(t)] for t in texts]
+    used = len(calls)
+    monkeypatch.setattr(sd, "_sliding", lambda x, span, best: np.zeros(max(1, len(x) - span + 1), np.uint64))
+    slow = [[x.tolist() for x in sd.anchors(t)] for t in texts]
+    assert fast == slow and used < len(calls) - used
