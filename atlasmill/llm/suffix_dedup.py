@@ -3,10 +3,9 @@
 Each 50-byte window is filed under an anchor, the least hash of its 16-byte grams, so equal windows
 share an anchor. Only anchors that two documents hold go on: the stretch of text whose windows an
 anchor answers for is sent to the anchor's bucket, where the windows are sorted as suffixes of the
-stretches, apart by where they hold the anchor. The sort is a merge sort whose comparisons take the common extension by binary search
-over prefix polynomial hashes; neighbours with a common extension of 50 bytes are equal windows,
-and their bytes are compared, so a collision cannot remove anything. A window whose least document
-is smaller than its own is removed.
+stretches, apart by where they hold the anchor. The sort takes the first 50 bytes of each suffix, eight at a time, and sorts again only
+runs that are still apart; suffixes of one run are equal windows, byte for byte. A window whose least document is smaller than its
+own is removed.
 
 Equal texts are collapsed first: of copies the one with the smallest id stands for all. A null text
 is empty; rows with a null id neither remove nor lose anything; rows of one id never remove from
@@ -96,57 +95,40 @@ class Suffixes:
         """The polynomial hash of `length` bytes from i, wherever they stand."""
         return self.hashed[i + length] - self.hashed[i] * POWERS[length]
 
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common extension, at most LENGTH, by binary search over prefix hashes."""
-        a, b = self.hashed[i], self.hashed[j]
-        gap = a - b  # of prefixes of both, the hashes agree where those of the longer prefixes differ by just this
-        low, step = np.zeros(len(i), np.int64), 32
-        while step:
-            up = np.minimum(low + step, LENGTH)
-            low = np.where(self.hashed[i + up] - self.hashed[j + up] == gap * POWERS[up], up, low)
-            step //= 2
-        return low
-
-    def before(self, i: np.ndarray, j: np.ndarray, equal: np.ndarray) -> np.ndarray:
-        """Whether suffix i comes before j; `equal` says what holds for equal ones."""
-        lcp = self.common(i, j)
-        x, y = self.data[np.minimum(i + lcp, self.n - 1)], self.data[np.minimum(j + lcp, self.n - 1)]
-        return np.where(lcp >= LENGTH, equal, x < y)
-
     def order(self, start: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Merge sort, bottom up, of all buckets at once. bucket is sorted; returns the order of the entries."""
+        """The order of the entries, as runs() sorts them."""
+        return self.runs(start, bucket)[0]
+
+    def runs(self, start: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorts the suffixes of all buckets at once by their first LENGTH bytes, eight at a time. bucket is sorted.
+
+        Returns the order of the entries, and the run of each in this order: equal beginnings of one bucket are a run.
+        Equal ones keep their order. Only runs that the next eight bytes tell apart are sorted again.
+        """
         n = len(start)
         order = np.arange(n)
         if n == 0:
-            return order
-        head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        size = np.diff(np.concatenate([head, [n]]))
-        begin, end = np.repeat(head, size), np.repeat(head + size, size)
-        run, most = 1, int(size.max())
-        place = np.arange(n)
-        while run < most:
-            live = np.flatnonzero(end - begin > run)
-            own = (place[live] - begin[live]) // run
-            left = own % 2 == 0
-            mine = begin[live] + own * run
-            other = np.where(left, mine + run, mine - run)
-            lo, hi = np.minimum(other, end[live]), np.minimum(other + run, end[live])
-            zero = lo.copy()
-            me = start[order[live]]
-            while True:
-                open_ = np.flatnonzero(lo < hi)
-                if not len(open_):
-                    break
-                mid = (lo[open_] + hi[open_]) // 2
-                # A left entry counts the right ones before it; a right entry also counts equal left ones.
-                less = self.before(start[order[mid]], me[open_], ~left[open_])
-                lo[open_] = np.where(less, mid + 1, lo[open_])
-                hi[open_] = np.where(less, hi[open_], mid)
-            target = np.minimum(mine, np.where(left, mine, other)) + (place[live] - mine) + (lo - zero)
-            new = order.copy()
-            new[target] = order[live]
-            order, run = new, run * 2
-        return order
+            return order, order
+        words = np.empty(self.n, np.uint64)
+        padded = self.data.tobytes() + bytes(8)
+        for o in range(min(8, self.n)):
+            at = words[o::8]
+            at[:] = np.frombuffer(padded, ">u8", len(at), o)
+        new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+        run = np.cumsum(new) - 1
+        for at in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+            word = words[start[order] + at]
+            apart = np.flatnonzero(~new[1:] & (word[1:] != word[:-1]))
+            if not len(apart):
+                continue
+            mixed = np.zeros(run[-1] + 1, bool)
+            mixed[run[apart]] = True
+            live = np.flatnonzero(mixed[run])
+            by = live[np.lexsort((word[live], run[live]))]
+            order[live], word[live] = order[by], word[by]
+            new[1:] |= word[1:] != word[:-1]
+            run = np.cumsum(new) - 1
+        return order, run
 
 
 def least_documents(suffixes: Suffixes, heads: np.ndarray, sizes: np.ndarray, docs: np.ndarray, bucket: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,22 +136,15 @@ def least_documents(suffixes: Suffixes, heads: np.ndarray, sizes: np.ndarray, do
 
     Equal windows hold their anchor at the same place, so each place in the window is a bucket of its own.
     """
-    data, windows = suffixes.data, sizes - LENGTH + 1
+    windows = sizes - LENGTH + 1
     ends = np.cumsum(windows)
     window = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
     start = np.repeat(heads, windows) + window
     own, filed = np.repeat(docs, windows), np.repeat(bucket * LENGTH + places, windows) - window
     by = np.argsort(filed, kind="stable")
-    order = by[suffixes.order(start[by], filed[by])]
-    s, f = start[order], filed[order]
-    alike = (f[1:] == f[:-1]) & (suffixes.common(s[1:], s[:-1]) >= LENGTH)
-    at = np.flatnonzero(alike)
-    grid = np.arange(LENGTH)
-    for k in range(0, len(at), 100_000):  # the bytes decide
-        part = at[k : k + 100_000]
-        alike[part] = (data[s[part + 1, None] + grid] == data[s[part, None] + grid]).all(1)
-    group = np.flatnonzero(np.concatenate([[True], ~alike]))
-    least = np.repeat(np.minimum.reduceat(own[order], group), np.diff(np.concatenate([group, [len(order)]])))
+    order, run = suffixes.runs(start[by], filed[by])
+    order = by[order]
+    least = np.minimum.reduceat(own[order], np.flatnonzero(np.diff(run, prepend=-1)))[run]
     out = np.empty(len(order), np.int64)
     out[order] = least
     return out, ends - windows

@@ -87,3 +87,22 @@ def test_anchors_are_the_leftmost_least_grams(monkeypatch):
     monkeypatch.setattr(sd, "_sliding", lambda x, span, best: np.zeros(max(1, len(x) - span + 1), np.uint64))
     slow = [[x.tolist() for x in sd.anchors(t)] for t in texts]
     assert fast == slow and used < len(calls) - used
+
+
+def test_runs_are_equal_beginnings_of_one_bucket():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, 50, dtype=np.uint8)
+    rows = []
+    for at in (None, 0, 7, 8, 39, 40, 41, 42, 47, 48, 49, 50):  # the last one differs behind the first 50 bytes
+        for change in (1, 128, 255):
+            row = np.concatenate([base, base[:10]])
+            if at is not None:
+                row[at] += np.uint8(change)
+            rows += [row, row]
+    data = np.concatenate(rows)
+    start, bucket = np.arange(len(rows)) * 60, np.sort(np.arange(len(rows)) % 2)
+    order, run = sd.Suffixes(data).runs(start, bucket)
+    key = lambda i: (bucket[i], data[start[i] : start[i] + 50].tobytes())
+    assert order.tolist() == sorted(range(len(rows)), key=key)
+    of = {k: i for i, k in enumerate(sorted(set(map(key, range(len(rows))))))}
+    assert run.tolist() == [of[key(i)] for i in order]
